@@ -171,3 +171,24 @@ def hash_values(values: pa.Array, seed: int = 42) -> np.ndarray:
 def array_of(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name)
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def slices(batch: pa.RecordBatch, most: int = 8 << 20):
+    """Parts of a batch of about most bytes each; a single longer row is a part of its own."""
+    each = max(1, batch.nbytes // max(1, batch.num_rows))
+    rows = max(1, most // each)
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        yield part
+        at += rows
+
+
+def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    if not len(sorted_keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(sorted_keys)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import lm_scoring, simhash_dedup, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (lm_scoring, simhash_dedup, substring_dedup)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
