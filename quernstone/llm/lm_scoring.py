@@ -104,7 +104,7 @@ def totals(training: DataFrame, buckets: int) -> Totals:
     summed = training.select("text").mapInArrow(count, "bucket long, payload binary").groupBy("bucket").applyInArrow(add, "n long, v long, top array<struct<h: long, c: long>>")
     summed = common.materialise(summed, "lm-totals")
     n, v = summed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    hot = summed.select(F.explode("top").alias("x")).where(F.col("x.c") >= HOT_SHARE * n).select("x.h").collect()
+    hot = summed.select(F.explode(F.filter("top", lambda x: x.c >= HOT_SHARE * n)).alias("x")).select("x.h").collect()
     return Totals(n, v, np.array([START, *(r[0] % (1 << 64) for r in hot)], np.uint64))
 
 
