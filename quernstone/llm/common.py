@@ -142,10 +142,10 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Cuts texts into words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case if asked."""
+def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False, separates: np.ndarray = _SEPARATES) -> Words:
+    """Cuts texts into words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case if asked. separates: other separating bytes than these."""
     data, offsets = text_bytes(texts)
-    keep = ~_SEPARATES[data]
+    keep = ~separates[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
     fresh = fresh[:-1]
