@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, simhash_dedup, substring_dedup
+from . import language_id, lm_scoring, quality_classifier, simhash_dedup, substring_dedup
 
-MODULES = (lm_scoring, simhash_dedup, substring_dedup)
+MODULES = (lm_scoring, language_id, simhash_dedup, substring_dedup, quality_classifier)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
