@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample: documents, and bytes of a sampled document. Fitting sees no others; scoring sees every whole text.
-SAMPLE, LONGEST = 12000, 1 << 14
+SAMPLE, LONGEST = 6000, 1 << 14
 #: Features are hashed to 2^HASH_BITS places; a feature that fewer sampled documents have has no weight.
 HASH_BITS, LEAST_DOCUMENTS = 18, 5
 GOOD, BAD, NO_VOTE = 0, 1, 2
@@ -108,31 +108,41 @@ class Features:
     insults: np.ndarray
 
 
-def features(texts: pa.Array, s: dict[str, np.ndarray]) -> Features:
-    """Which words (runs of letters, A-Z in lower case) a text has, which beginnings of words how often, and into which bins its shapes fall."""
+def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None = None) -> Features:
+    """Which words (runs of letters, A-Z in lower case) a text has, which beginnings of words how often, and into which bins its shapes fall.
+
+    used: if given, of each place whether anything is asked about it; others are left out.
+    """
     words = common.words_of(texts, lower=True, separates=~_LETTERS)
     codes, vocabulary = words.coded()
     n = len(words.counts)
     of = np.repeat(np.arange(n), words.counts)
     mask = np.uint64((1 << HASH_BITS) - 1)
-    places = (common.hash_values(vocabulary) & mask).astype(np.int64)
-    insult = np.array([v in _INSULTS for v in vocabulary.to_pylist()], bool)
-    pairs = [of.astype(np.int64) << 32 | places[codes]] if len(codes) else []
+    used = np.ones(1 << HASH_BITS, bool) if used is None else used
     values = vocabulary.to_pylist()
+    insult = np.array([v in _INSULTS for v in values], bool)
+    insults = np.bincount(of, insult[codes], n) if len(codes) else np.zeros(n)
+    places = (common.hash_values(vocabulary) & mask).astype(np.int64)
+    asked = used[places][codes]
+    pairs = [of[asked] << 32 | places[codes[asked]]]
     long = np.fromiter(map(len, values), np.int64, len(values))
-    for size in BEGINNINGS if len(codes) else ():
-        begins = common.hash_values(pa.array([v[:size] for v in values], pa.binary()), size)
-        longer = (long > size)[codes]
-        key, count = np.unique(of[longer].astype(np.int64) << 32 | (begins & np.uint64(0xFFFFFFFF)).astype(np.int64)[codes[longer]], return_counts=True)
+    tests = [lambda count, share, k=k: count >= k for k in OFTEN] + [lambda count, share, x=x: (share >= x) & (count > 1) for x in SHARES]
+    for size in BEGINNINGS:
+        begins = common.hash_values(pa.array([v[:size] for v in values], pa.binary()), size) & np.uint64(0xFFFFFFFF)
+        at = [(common.mix(begins + np.uint64(salt << 40)) & mask).astype(np.int64) for salt in range(1, len(tests) + 1)]
+        asked = ((long > size) & np.any([used[x] for x in at], axis=0))[codes]
+        key, count = np.unique(of[asked] << 32 | begins.astype(np.int64)[codes[asked]], return_counts=True)
         share = count / words.counts[key >> 32]
-        for salt, met in enumerate([*(count >= k for k in OFTEN), *((share >= x) & (count > 1) for x in SHARES)], 1):
-            place = common.mix((key[met] & 0xFFFFFFFF).astype(np.uint64) + np.uint64(salt << 40)) & mask
-            pairs.append(key[met] >> 32 << 32 | place.astype(np.int64))
+        for salt, test in enumerate(tests, 1):
+            met = key[test(count, share)]
+            place = common.mix((met & 0xFFFFFFFF).astype(np.uint64) + np.uint64(salt << 40)) & mask
+            pairs.append(met >> 32 << 32 | place.astype(np.int64))
     for name, edges in BINS.items():
         at = common.hash_values(pa.array([f"{name} {b}".encode() for b in range(len(edges) + 1)])) & mask
         pairs.append(np.arange(n) << 32 | at.astype(np.int64)[np.searchsorted(edges, s[name], side="right")])
-    pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-    return Features(pairs >> 32, pairs & 0xFFFFFFFF, np.bincount(of, insult[codes], n) if len(codes) else np.zeros(n))
+    pairs = np.concatenate(pairs)
+    pairs = np.unique(pairs[used[pairs & 0xFFFFFFFF]])
+    return Features(pairs >> 32, pairs & 0xFFFFFFFF, insults)
 
 
 _INSULTS = frozenset(x.encode() for x in INSULTS)
@@ -162,12 +172,13 @@ def train_linear(f: Features, n: int, target: np.ndarray, rounds: int = 300, pen
 
     A feature takes part if LEAST_DOCUMENTS texts or more have it and their mean label is least standard errors or more from the mean.
     """
-    used, at = np.unique(f.place, return_inverse=True)
-    has, mean = np.bincount(at, minlength=len(used)), target.mean()
-    apart = (np.bincount(at, target[f.text], len(used)) - has * mean) / np.sqrt(has * max(mean * (1 - mean), 1e-6))
-    frequent = (has >= LEAST_DOCUMENTS) & (np.abs(apart) >= least)
-    keep = frequent[at]
-    text, at = f.text[keep], at[keep]
+    has, mean = np.bincount(f.place, minlength=1 << HASH_BITS), target.mean()
+    apart = (np.bincount(f.place, target[f.text], 1 << HASH_BITS) - has * mean) / np.sqrt(np.maximum(has, 1) * max(mean * (1 - mean), 1e-6))
+    used = np.flatnonzero((has >= LEAST_DOCUMENTS) & (np.abs(apart) >= least))
+    rank = np.full(1 << HASH_BITS, -1, np.int32)
+    rank[used] = np.arange(len(used))
+    keep = rank[f.place] >= 0
+    text, at = f.text[keep], rank[f.place[keep]]
     w, b = np.zeros(len(used)), 0.0
     m1, m2, c1, c2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for k in range(1, rounds + 1):
@@ -179,7 +190,7 @@ def train_linear(f: Features, n: int, target: np.ndarray, rounds: int = 300, pen
         w -= 0.1 * (m1 / a) / (np.sqrt(m2 / z) + 1e-8)
         b -= 0.1 * (c1 / a) / (np.sqrt(c2 / z) + 1e-8)
     full = np.zeros(1 << HASH_BITS, np.float32)
-    full[used[frequent]] = w[frequent]
+    full[used] = w
     return full, float(b)
 
 
@@ -192,7 +203,7 @@ class Scorer:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         s = shapes(texts)
-        f = features(texts, s)
+        f = features(texts, s, (self.weights != 0).any(0))
         n = len(texts)
         z = np.stack([np.bincount(f.text, self.weights[k][f.place], n) + self.intercepts[k] for k in (0, 1)], 1)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -208,13 +219,21 @@ def telling(f: Features, label: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
     """quality, toxic: reviewers' labels (1, 0, NaN: none); they are one labeller more of either question."""
-    parts = []
-    for part in common.slices(pa.record_batch([texts], ["text"])):
+    parts, has = [], np.zeros(1 << HASH_BITS, np.int64)
+    for part in common.slices(pa.record_batch([texts], ["text"]), 1 << 20):
         own = shapes(part.column(0))
-        parts.append((own, features(part.column(0), own)))
+        f = features(part.column(0), own)
+        has += np.bincount(f.place, minlength=1 << HASH_BITS)
+        parts.append((own, Features(f.text.astype(np.int32), f.place.astype(np.int32), f.insults)))
     s = {k: np.concatenate([x[k] for x, _ in parts]) for k in BINS}
     before = np.cumsum([0, *(len(x["words"]) for x, _ in parts)])
-    f = Features(*(np.concatenate(x) for x in zip(*((y.text + b, y.place, y.insults) for (_, y), b in zip(parts, before, strict=False)), strict=True)))
+    frequent = [has[y.place] >= LEAST_DOCUMENTS for _, y in parts]
+    f = Features(
+        np.concatenate([y.text[m] + np.int32(b) for (_, y), m, b in zip(parts, frequent, before, strict=False)]),
+        np.concatenate([y.place[m] for (_, y), m in zip(parts, frequent, strict=True)]),
+        np.concatenate([y.insults for _, y in parts]),
+    )
+    del parts, frequent
     review = np.where(np.isnan(quality), NO_VOTE, np.where(quality > 0, GOOD, BAD))
     bad_form = label_model(np.column_stack((quality_votes(s), review)))
     review = np.where(np.isnan(toxic), NO_VOTE, np.where(toxic > 0, BAD, GOOD))
