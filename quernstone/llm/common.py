@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,11 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: the optimizer may copy an expression into a lambda, where it runs for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # ---- packed integers -------------------------------------------------------------------------------------------------
 
 

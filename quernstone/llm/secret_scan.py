@@ -41,19 +41,20 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 def spans(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
     """array<struct<s, e, v>> of the leftmost non-overlapping matches, in code points, end exclusive; those whose group is shorter than least
     are left out. Places come from the lengths of the matches and of the pieces between them."""
-    pieces, found, kept = F.split(text, pattern, -1), _matches(text, pattern, 0), _matches(text, pattern, group)
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
-    def step(state: Column, i: Column) -> Column:
-        start = state.at + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(found, i))
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), F.get(found, i).alias("v")))
-        return F.struct(end.alias("at"), F.when(F.length(F.get(kept, i)) >= least, F.concat(state.out, one)).otherwise(state.out).alias("out"))
+    def walk(x: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            start = state.at + F.length(F.get(x.pieces, i))
+            end = start + F.length(F.get(x.found, i))
+            one = F.array(F.struct(start.alias("s"), end.alias("e"), F.get(x.found, i).alias("v")))
+            return F.struct(end.alias("at"), F.when(F.length(F.get(x.kept, i)) >= least, F.concat(state.out, one)).otherwise(state.out).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    # sequence() would count down for no match at all
-    walked = F.aggregate(F.filter(F.sequence(F.lit(0), F.size(found)), lambda i: i < F.size(found)), start, step, lambda s: s.out)
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x.found) - 1), start, step, lambda s: s.out)
+
+    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), _matches(text, pattern, 0).alias("found"), _matches(text, pattern, group).alias("kept"))
+    return F.when(text.rlike(pattern), common.let(parts, walk)).otherwise(empty)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -71,26 +72,34 @@ def battery(value: Column, alphabet: Column) -> Column:
     Chi-squared of the symbols' counts (Wilson and Hilferty's normal form); runs above and below the middle of the alphabet
     (Wald and Wolfowitz); serial correlation of neighbouring values. The last two are two-sided.
     """
-    body = F.regexp_replace(value, "=+$", "")
-    n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
-    symbols = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.substring(body, i, F.lit(1)))
-    values = F.transform(symbols, lambda c: F.call_function("locate", c, alphabet).cast("double") - 1)
-    squares = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi, free = k / n * squares - n, k - 1
-    p_chi = _upper_tail((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-    high = F.transform(values, lambda v: (v * 2 >= k).cast("int"))
-    a = F.aggregate(high, F.lit(0), lambda s, v: s + v).cast("double")
-    b = n - a
-    pairs = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(values) - 1))
-    runs = 1 + F.aggregate(pairs, F.lit(0), lambda s, i: s + F.coalesce((F.get(high, i) != F.get(high, i - 1)).cast("int"), F.lit(0))).cast("double")
-    mean_runs = 1 + 2 * a * b / n
-    spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-    p_runs = F.when((a > 0) & (b > 0) & (spread > 0), 2 * _upper_tail(F.abs(runs - mean_runs) / F.sqrt(spread))).otherwise(2 * F.pow(F.lit(0.5), n))
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    power = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    cross = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.coalesce((F.get(values, i) - mean) * (F.get(values, i - 1) - mean), F.lit(0.0)))
-    p_serial = F.when(power > 0, 2 * _upper_tail(F.abs(cross / power + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+
+    def read(x: Column) -> Column:
+        symbols = F.transform(F.sequence(F.lit(1), F.length(x.body)), lambda i: F.substring(x.body, i, F.lit(1)))
+        return F.struct(x.body.alias("body"), F.length(x.body).cast("double").alias("n"), F.length(x.alphabet).cast("double").alias("k"), symbols.alias("symbols"), F.transform(symbols, lambda c: F.call_function("locate", c, x.alphabet).cast("double") - 1).alias("values"))
+
+    def total(x: Column) -> Column:
+        mean = F.aggregate(x["values"], F.lit(0.0), lambda s, v: s + v) / x.n
+        high = F.transform(x["values"], lambda v: (v * 2 >= x.k).cast("int"))
+        pairs = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x["values"]) - 1))
+        return F.struct(*(x[c].alias(c) for c in ("body", "n", "k", "symbols", "values")), mean.alias("mean"), high.alias("high"), pairs.alias("pairs"))
+
+    def test(x: Column) -> Column:
+        n, k, mean = x.n, x.k, x["mean"]
+        squares = F.aggregate(F.array_distinct(x.symbols), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(x.body, c, F.lit(""))), F.lit(2.0)))
+        chi, free = k / n * squares - n, k - 1
+        p_chi = _upper_tail((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
+        a = F.aggregate(x.high, F.lit(0), lambda s, v: s + v).cast("double")
+        b = n - a
+        runs = 1 + F.aggregate(x.pairs, F.lit(0), lambda s, i: s + F.coalesce((F.get(x.high, i) != F.get(x.high, i - 1)).cast("int"), F.lit(0))).cast("double")
+        spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        p_runs = F.when((a > 0) & (b > 0) & (spread > 0), 2 * _upper_tail(F.abs(runs - 1 - 2 * a * b / n) / F.sqrt(spread))).otherwise(2 * F.pow(F.lit(0.5), n))
+        power = F.aggregate(x["values"], F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        cross = F.aggregate(x.pairs, F.lit(0.0), lambda s, i: s + F.coalesce((F.get(x["values"], i) - mean) * (F.get(x["values"], i - 1) - mean), F.lit(0.0)))
+        p_serial = F.when(power > 0, 2 * _upper_tail(F.abs(cross / power + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
+        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+
+    given = F.struct(F.regexp_replace(value, "=+$", "").alias("body"), alphabet.alias("alphabet"))
+    return common.let(common.let(common.let(given, read), total), test)
 
 
 def candidates(text: Column) -> Column:
