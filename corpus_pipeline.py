@@ -1,16 +1,51 @@
-"""From raw documents to training-order token shards."""
+"""From raw documents to training-order token shards: five stages, each an operator of quernstone.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quernstone.llm import common, decontamination, mixing, quality_classifier, simhash_dedup, token_shards
+
+#: Shares of the mix's tokens by domain, and the mix's tokens as a multiple of its input's: chosen so that no domain of a filtered corpus is to shrink.
+MIX, GROWTH = {"q1t0": 0.98, "q1t1": 0.01, "q0t0": 0.007, "q0t1": 0.003}, 1.05
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    common.small_batches(spark)
+    return quality_classifier.classify(docs, common.table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    common.small_batches(spark)
+    return simhash_dedup.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say. The classifier learns from the labelled ones among all documents, as those kept are nearly all of one domain."""
+    labels = mixing.quality_domains(common.table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, MIX, GROWTH, common.table(spark, sf_dir, "documents"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences at their slots."""
+    common.small_batches(spark)
+    return token_shards.training_order(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("token_shards", shards)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of sf_dir; each stage's rows are written and read again, as the next one's documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -110,10 +110,10 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], total: float) -> tu
     return history, step
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, tokens, posterior (array in the order of targets), rate, copies.
 
-    labels: (doc_id, domain) of some documents. targets: domains and their shares of the tokens of the mix, which are growth times those of docs. A
+    labels: (doc_id, domain) of some documents of learn_from (docs, if not given). targets: domains and their shares of the tokens of the mix, which are growth times those of docs. A
     document's expected tokens of a domain are rate * tokens * posterior; rates are nonnegative and fit the targets by least squares. copies rounds
     rate down or up by a hash of doc_id and text, up with the chance of its fraction; a rate within 0.001 of a whole number is that number.
 
@@ -123,7 +123,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     """
     domains = list(targets)
     featured = common.materialise(features(docs), "mix-features")
-    p = posteriors(featured, labels, domains)
+    p = posteriors(featured if learn_from is None else features(learn_from), labels, domains)
     classes = featured.groupBy(*EDGES).agg(F.sum("tokens").alias("tokens")).select(p.alias("p"), "tokens")
     classes = common.materialise(classes.coalesce(1), "mix-classes")  # a class for each combination of bins: 1,728 at most
     tokens = classes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -136,10 +136,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     return out.select("doc_id", "tokens", "posterior", "rate", copies.alias("copies"), "unit")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None) -> DataFrame:
     """The rows of docs, each as often as its copies say; columns as they are."""
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))), 11) / float(1 << 53)
-    copies = mixing_rates(docs, labels, targets, growth).groupBy(F.col("doc_id").alias("__d"), F.col("unit").alias("__u")).agg(F.min("copies").alias("__n"))
+    copies = mixing_rates(docs, labels, targets, growth, learn_from).groupBy(F.col("doc_id").alias("__d"), F.col("unit").alias("__u")).agg(F.min("copies").alias("__n"))
     joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__d")) & (unit == F.col("__u")))
     repeated = joined.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
     return repeated.select(*docs.columns)

@@ -50,13 +50,24 @@ def fingerprint(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > per[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long. No words: zero."""
+def _once(hashes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes without repeats."""
+    text = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    return h[new], np.bincount(t[new], minlength=len(per))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long. No words: zero. repeats: whether repeated shingles count again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                fp = fingerprint(*shingle_hashes(part.column("text"), width))
+                hashes = shingle_hashes(part.column("text"), width)
+                fp = fingerprint(*(hashes if repeats else _once(*hashes)))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
 
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -82,20 +93,30 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def _forest(fp: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a run, the place of a fingerprint that it is linked to, perhaps through others: one a component. Memory is
-    one strip of comparisons."""
+def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of a run: each component takes its closest link outwards until there is none (Boruvka). Memory is one
+    strip of comparisons."""
     n = len(fp)
-    label = np.arange(n)
+    label, a, b = np.arange(n), [], []
     strip = max(1, (1 << 22) // n)
     while True:
-        before = label.copy()
+        gap, to = np.empty(n, np.int64), np.empty(n, np.int64)
         for at in range(0, n, strip):
-            near = _near(fp[at : at + strip, None], fp[None, :], radius)
-            label[at : at + strip] = np.minimum(label[at : at + strip], np.where(near, label[None, :], n).min(axis=1))
-        label = label[label]
-        if (label == before).all():
-            return label
+            d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :]).astype(np.int64)
+            d[label[at : at + strip, None] == label[None, :]] = 99
+            to[at : at + strip] = d.argmin(1)
+            gap[at : at + strip] = d.min(1)
+        # the least place breaks ties, so that chosen links make no circle but pairs that choose each other
+        order = np.lexsort((np.maximum(np.arange(n), to), np.minimum(np.arange(n), to), gap, label))
+        first = order[common.runs_of(label[order])[0]]
+        first = first[gap[first] <= radius]
+        if not len(first):
+            break
+        a.append(first)
+        b.append(to[first])
+        for x, y in zip(first.tolist(), to[first].tolist(), strict=True):
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +138,9 @@ def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int)
             octets = run.view(np.uint8).reshape(-1, 8)
             parts = [p for k in range(8) for o in [np.argsort(octets[:, k], kind="stable")] for p in np.split(o, np.flatnonzero(np.diff(octets[o, k])) + 1) if len(p) > 1]
         for p in parts:
-            to = _forest(run[p], radius)
-            moved = to != np.arange(len(p))
-            a.append(run[p][moved])
-            b.append(run[p][to[moved]])
+            x, y = _forest(run[p], radius)
+            a.append(run[p][x])
+            b.append(run[p][y])
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
@@ -156,24 +176,64 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """Those edges of which the texts of the least doc_ids have that Jaccard similarity of their sets of width-word shingles, or a larger one."""
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    wanted = nodes.join(ends, "fp").select("fp", F.col("least").alias("doc_id"))
+    words = common.word_array(common.lower_az(F.col("text").cast("string")))
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("fp", F.array_distinct(runs(words, width)).alias("s"))
+    sets = common.materialise(sets, "shingle-sets")
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def runs(words: Column, width: int) -> Column:
+    """Hashes of all runs of width words of an array; fewer words: of them all."""
+
+    def hashed(w: Column) -> Column:
+        n = F.greatest(F.lit(1), F.size(w) - (width - 1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+
+    return common.let(words, hashed)
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: bool = True, similarity: float | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, fp (signed long), component_id, the smallest doc_id that links lead to.
 
-    Words are lower-cased (A-Z); shingles are width words joined by a space, repeats included; fewer words give the whole sequence as one
-    shingle, none the fingerprint zero, which is linked like any other. Two rows are linked if their fingerprints differ in radius bits or fewer.
+    Words are lower-cased (A-Z); shingles are width words joined by a space, repeats included unless repeats is false; fewer words give the
+    whole sequence as one shingle, none the fingerprint zero, which is linked like any other. Two rows are linked if their fingerprints differ in radius
+    bits or fewer. similarity: if given, different fingerprints are linked only if the texts' sets of five-word shingles are also so similar
+    (Jaccard); of a long run of equal signatures then only the links of a spanning forest, closest first, are looked at.
 
     Nulls: a null text has no words; a null doc_id is never a component_id unless a component holds nothing else, which gives null. Ties and
     repeated rows share a fingerprint and a component. An empty table gives an empty result. Other columns of docs are ignored.
-    Equal fingerprints are one node, so groups of copies cost nothing; no pairs of documents are formed.
+    Equal fingerprints are one node, so groups of copies cost nothing; no pairs of documents are formed. A signature has 64 / (radius // 2 + 1) - 1
+    bits: with radius 3 these tell billions of texts apart, with radius 7 thousands, so that the comparisons of a large corpus grow with its square.
     """
-    prints = common.materialise(fingerprints(docs, width), "fingerprints")
+    prints = common.materialise(fingerprints(docs, width, repeats), "fingerprints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    edges = links(nodes.select("fp"), radius)
+    if similarity is not None:
+        edges = verified(common.materialise(edges.distinct(), "candidate-links"), docs, nodes, similarity)
+    found = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component of near_duplicates() the row with the smallest doc_id stays, and of
+    equal doc_ids one. Components are found with two-word shingles without repeats, seven bits, and that similarity of five-word shingles:
+    few edits change few words and so few bits of such fingerprints. Rows with a null doc_id stay only where their component holds no other, and then all.
+    """
+    found = near_duplicates(docs, 2, 7, False, similarity)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where(F.col("component_id").isNull()).select(F.lit(True).alias("any")).limit(1)
+    return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).join(F.broadcast(nameless), F.lit(True), "left_semi").select(*docs.columns))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
