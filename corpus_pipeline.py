@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import common, decontamination, mixing, quality_classifier, simhash_dedup, token_shards
 
-#: Shares of the mix's tokens by domain, and the mix's tokens as a multiple of its input's: chosen so that no domain of a filtered corpus is to shrink.
-MIX, GROWTH = {"q1t0": 0.98, "q1t1": 0.01, "q0t0": 0.007, "q0t1": 0.003}, 1.05
+#: Shares of the mix's tokens by domain, and the mix's tokens as a multiple of its input's. What has come so far is clean: no rate is to be below 1.
+MIX, GROWTH = {"q1t0": 0.98, "q1t1": 0.01, "q0t0": 0.007, "q0t1": 0.003}, 1.15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say. The classifier learns from the labelled ones among all documents, as those kept are nearly all of one domain."""
     labels = mixing.quality_domains(common.table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels, MIX, GROWTH, common.table(spark, sf_dir, "documents"))
+    return mixing.mix(docs, labels, MIX, GROWTH, common.table(spark, sf_dir, "documents"), 1.0)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

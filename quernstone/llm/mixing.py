@@ -80,16 +80,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _rate(posterior: Column, history: list[list[float]], step: float) -> Column:
-    """A document's rate after the steps taken so far: each step's residuals, by domain, are all that it depends on."""
+def _rate(posterior: Column, history: list[list[float]], step: float, least: float) -> Column:
+    """A document's rate after the steps taken so far: each step's residuals, by domain, are all that it depends on. least: the smallest rate, 0 or more."""
     if not history:
         return F.lit(1.0)
     past = F.array(*[F.array(*map(F.lit, h)) for h in history])
-    return F.aggregate(past, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - step * (_dot(posterior, h) + PULL * (r - 1))))
+    return F.aggregate(past, F.lit(1.0), lambda r, h: F.greatest(F.lit(least), r - step * (_dot(posterior, h) + PULL * (r - 1))))
 
 
-def fit_rates(classes: DataFrame, targets: dict[str, float], total: float) -> tuple[list[list[float]], float]:
-    """Projected gradient for rates r >= 0 that minimise sum_k (sum_d r_d t_d p_dk - T_k)^2 / T_k and, PULL times, sum_d t_d (r_d - 1)^2, both
+def fit_rates(classes: DataFrame, targets: dict[str, float], total: float, least: float = 0.0) -> tuple[list[list[float]], float]:
+    """Projected gradient for rates r >= least that minimise sum_k (sum_d r_d t_d p_dk - T_k)^2 / T_k and, PULL times, sum_d t_d (r_d - 1)^2, both
     over all tokens; steps are scaled by 1 / t_d. classes: (p, tokens), the tokens of all documents with one posterior, which so have one rate.
     Gives the residuals of each step, and the step size. A step is one aggregation; its few sums reach the driver."""
     k = range(len(targets))
@@ -103,18 +103,18 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], total: float) -> tu
     history: list[list[float]] = []
     step = 1 / steepest
     for _ in range(STEPS):
-        now = classes.agg(*sums(_rate(F.col("p"), history, step))).first()
+        now = classes.agg(*sums(_rate(F.col("p"), history, step, least))).first()
         history.append([(now[i] - goal[i]) * weight[i] for i in k])
         if max(abs(now[i] - goal[i]) for i in k) <= 1e-4 * total:
             break
     return history, step
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, tokens, posterior (array in the order of targets), rate, copies.
 
     labels: (doc_id, domain) of some documents of learn_from (docs, if not given). targets: domains and their shares of the tokens of the mix, which are growth times those of docs. A
-    document's expected tokens of a domain are rate * tokens * posterior; rates are nonnegative and fit the targets by least squares. copies rounds
+    document's expected tokens of a domain are rate * tokens * posterior; rates are least or more (0: any) and fit the targets by least squares. copies rounds
     rate down or up by a hash of doc_id and text, up with the chance of its fraction; a rate within 0.001 of a whole number is that number.
 
     Nulls: a null text has no tokens, and a rate like any text of its features; a null doc_id has no label; labels that are null or no target are left
@@ -128,18 +128,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     classes = common.materialise(classes.coalesce(1), "mix-classes")  # a class for each combination of bins: 1,728 at most
     tokens = classes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = sum(targets.values())
-    history, step = fit_rates(classes, {d: w / share for d, w in targets.items()}, float(growth * tokens))
-    out = featured.select("doc_id", "tokens", "unit", p.alias("posterior")).withColumn("rate", _rate(F.col("posterior"), history, step))
+    history, step = fit_rates(classes, {d: w / share for d, w in targets.items()}, float(growth * tokens), least)
+    out = featured.select("doc_id", "tokens", "unit", p.alias("posterior")).withColumn("rate", _rate(F.col("posterior"), history, step, least))
     near = F.round("rate")
     snapped = F.when(F.abs(F.col("rate") - near) < 1e-3, near).otherwise(F.col("rate"))
     copies = (F.floor(snapped) + (F.col("unit") < snapped - F.floor(snapped)).cast("int")).cast("int")
     return out.select("doc_id", "tokens", "posterior", "rate", copies.alias("copies"), "unit")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, learn_from: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """The rows of docs, each as often as its copies say; columns as they are."""
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))), 11) / float(1 << 53)
-    copies = mixing_rates(docs, labels, targets, growth, learn_from).groupBy(F.col("doc_id").alias("__d"), F.col("unit").alias("__u")).agg(F.min("copies").alias("__n"))
+    copies = mixing_rates(docs, labels, targets, growth, learn_from, least).groupBy(F.col("doc_id").alias("__d"), F.col("unit").alias("__u")).agg(F.min("copies").alias("__n"))
     joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__d")) & (unit == F.col("__u")))
     repeated = joined.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
     return repeated.select(*docs.columns)
