@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clicks, scalar, tpch  # noqa: F401
+from . import aggregates, clicks, joins, scalar, shapes, surfaces, tpch  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

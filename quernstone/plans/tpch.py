@@ -6,7 +6,7 @@ from .base import text
 
 PARTSUPP = """partsupp AS (
   SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty,
-         round(min(l_extendedprice / l_quantity), 2) AS ps_supplycost
+         min(l_extendedprice / l_quantity) AS ps_supplycost
   FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 
 text("tpch_q01", """
