@@ -76,7 +76,8 @@ def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True) -> DataF
 
 def variants(fp: Column, radius: int) -> tuple[Column, int]:
     """Signatures of a fingerprint. It is cut into radius // 2 + 1 segments, so that of radius differing bits some segment has one at
-    most; each segment gives one signature for each of its bits, that bit masked. A signature holds its segment and bit in its top byte.
+    most; each segment gives one signature for each of its bits, that bit masked. A signature holds its segment and bit in its top byte, or is a hash of
+    them if a segment leaves no room; what meets by a collision is told apart as links are verified.
     """
     segments = radius // 2 + 1
     width = 64 // segments
@@ -85,10 +86,16 @@ def variants(fp: Column, radius: int) -> tuple[Column, int]:
         low = s * width
         bits = width if s < segments - 1 else 64 - low
         value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
-        out += [value.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << b))).bitwiseOR(F.lit((s * width + b) << 56)) for b in range(bits)]
+        for b in range(bits):
+            masked = value.bitwiseAND(F.lit(_signed(((1 << bits) - 1) & ~(1 << b))))
+            out.append(masked.bitwiseOR(F.lit(_signed((s * width + b) << 56))) if bits <= 56 else F.xxhash64(masked, F.lit(b)))
     return F.array(*out), segments
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
@@ -225,13 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component of near_duplicates() the row with the smallest doc_id stays, and of
     equal doc_ids one. Components are found with two-word shingles without repeats, seven bits, and that similarity of five-word shingles:
-    few edits change few words and so few bits of such fingerprints. Rows with a null doc_id stay only where their component holds no other, and then all.
+    few edits change few words and so few bits of such fingerprints. Rows with a null doc_id can't be told apart and all stay.
     """
     found = near_duplicates(docs, 2, 7, False, similarity)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where(F.col("component_id").isNull()).select(F.lit(True).alias("any")).limit(1)
-    return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).join(F.broadcast(nameless), F.lit(True), "left_semi").select(*docs.columns))
+    return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
