@@ -59,6 +59,8 @@ def _coded(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 def fit(sample: dict[str, pa.Array]) -> Contexts:
     """Counts contexts of up to three bytes in each language's texts and turns them into code lengths."""
     languages = sorted(sample)
+    if not languages:
+        return Contexts([], np.zeros(256, np.int32), np.zeros(CLASSES**3, np.int32), np.zeros((CLASSES, 0), np.float32))
     parts = [_lowered(sample[x]) for x in languages]
     seen = sum((np.bincount(d, minlength=256) for d, _ in parts), np.zeros(256, np.int64))
     seen[10] = seen.max() + 1  # the blank before a document is a line feed

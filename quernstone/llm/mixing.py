@@ -105,7 +105,8 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], total: float, least
     for _ in range(STEPS):
         now = classes.agg(*sums(_rate(F.col("p"), history, step, least))).first()
         history.append([(now[i] - goal[i]) * weight[i] for i in k])
-        if max(abs(now[i] - goal[i]) for i in k) <= 1e-4 * total:
+        still = len(history) > 1 and max(abs(a - b) for a, b in zip(*history[-2:], strict=True)) <= 1e-6
+        if still or max(abs(now[i] - goal[i]) for i in k) <= 1e-4 * total:
             break
     return history, step
 

@@ -14,7 +14,7 @@ from . import common
 
 #: Bounds of the training sample: documents, and bytes of a sampled document. Fitting sees no others; scoring sees every whole text.
 SAMPLE, LONGEST = 6000, 1 << 14
-#: Features are hashed to 2^HASH_BITS places; a feature that fewer sampled documents have has no weight.
+#: Features are hashed to 2^HASH_BITS places; a feature that fewer sampled documents have has no weight (a fortieth of a small sample).
 HASH_BITS, LEAST_DOCUMENTS = 18, 5
 GOOD, BAD, NO_VOTE = 0, 1, 2
 
@@ -145,6 +145,10 @@ def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None
     return Features(pairs >> 32, pairs & 0xFFFFFFFF, insults)
 
 
+def _least(n: int) -> int:
+    return min(LEAST_DOCUMENTS, max(2, n // 40))
+
+
 _INSULTS = frozenset(x.encode() for x in INSULTS)
 
 
@@ -167,14 +171,15 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
     return q
 
 
-def train_linear(f: Features, n: int, target: np.ndarray, rounds: int = 300, penalty: float = 3e-5, least: float = 7.0) -> tuple[np.ndarray, float]:
+def train_linear(f: Features, n: int, target: np.ndarray, rounds: int = 300, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on hashed features towards the posterior labels, by Adam over the whole sample.
 
-    A feature takes part if LEAST_DOCUMENTS texts or more have it and their mean label is least standard errors or more from the mean.
+    A feature takes part if LEAST_DOCUMENTS texts or more have it and their mean label is seven standard errors or more from the mean; fewer, down
+    to two, in small samples, where nothing is so far from it.
     """
     has, mean = np.bincount(f.place, minlength=1 << HASH_BITS), target.mean()
     apart = (np.bincount(f.place, target[f.text], 1 << HASH_BITS) - has * mean) / np.sqrt(np.maximum(has, 1) * max(mean * (1 - mean), 1e-6))
-    used = np.flatnonzero((has >= LEAST_DOCUMENTS) & (np.abs(apart) >= least))
+    used = np.flatnonzero((has >= _least(n)) & (np.abs(apart) >= min(7.0, 2 + 0.1 * np.sqrt(n))))
     rank = np.full(1 << HASH_BITS, -1, np.int32)
     rank[used] = np.arange(len(used))
     keep = rank[f.place] >= 0
@@ -214,7 +219,7 @@ class Scorer:
 def telling(f: Features, label: np.ndarray) -> np.ndarray:
     """Texts with a feature that twice LEAST_DOCUMENTS sampled texts or more have, 19 in 20 of them labelled 1."""
     has, ones = np.bincount(f.place, minlength=1 << HASH_BITS), np.bincount(f.place, (label == 1)[f.text], 1 << HASH_BITS)
-    return np.bincount(f.text, ((has >= 2 * LEAST_DOCUMENTS) & (ones >= 0.95 * has))[f.place], len(label)) > 0
+    return np.bincount(f.text, ((has >= 2 * _least(len(label))) & (ones >= 0.95 * has))[f.place], len(label)) > 0
 
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
@@ -227,7 +232,7 @@ def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
         parts.append((own, Features(f.text.astype(np.int32), f.place.astype(np.int32), f.insults)))
     s = {k: np.concatenate([x[k] for x, _ in parts]) for k in BINS}
     before = np.cumsum([0, *(len(x["words"]) for x, _ in parts)])
-    frequent = [has[y.place] >= LEAST_DOCUMENTS for _, y in parts]
+    frequent = [has[y.place] >= _least(len(texts)) for _, y in parts]
     f = Features(
         np.concatenate([y.text[m] + np.int32(b) for (_, y), m, b in zip(parts, frequent, before, strict=False)]),
         np.concatenate([y.place[m] for (_, y), m in zip(parts, frequent, strict=True)]),

@@ -259,7 +259,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
             for m, v in zip(more, (ids, score, True), strict=True):
                 m[at] = v
             i, s, has = (np.concatenate(p, 1) for p in zip(best, more, strict=True))
-            order = np.lexsort((i, -s, ~has), axis=1)[:, :k]
+            order = np.lexsort((i, ~s, ~has), axis=1)[:, :k]  # ~s falls as s rises, for the least long too
             best = tuple(np.take_along_axis(p, order, 1) for p in (i, s, has))
         i, s, has = best
         q, rank = np.nonzero(has)
