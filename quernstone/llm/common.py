@@ -43,6 +43,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes all that materialise() has written to the shared folder. Results that read it must have been written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quernstone")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows of one Arrow batch, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -133,4 +133,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM places
+), least AS (
+  SELECT s, min(doc_id) AS m FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN least USING (s), range(13) AS r(k) WHERE m < doc_id
+), each_word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM each_word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+}
