@@ -145,6 +145,11 @@ def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None
     return Features(pairs >> 32, pairs & 0xFFFFFFFF, insults)
 
 
+def _apart(has: np.ndarray, ones: np.ndarray, mean: float) -> np.ndarray:
+    """By how many standard errors the mean label of texts with a feature differs from the mean."""
+    return (ones - has * mean) / np.sqrt(np.maximum(has, 1) * max(mean * (1 - mean), 1e-6))
+
+
 def _least(n: int) -> int:
     return min(LEAST_DOCUMENTS, max(2, n // 40))
 
@@ -178,7 +183,7 @@ def train_linear(f: Features, n: int, target: np.ndarray, rounds: int = 300, pen
     to two, in small samples, where nothing is so far from it.
     """
     has, mean = np.bincount(f.place, minlength=1 << HASH_BITS), target.mean()
-    apart = (np.bincount(f.place, target[f.text], 1 << HASH_BITS) - has * mean) / np.sqrt(np.maximum(has, 1) * max(mean * (1 - mean), 1e-6))
+    apart = _apart(has, np.bincount(f.place, target[f.text], 1 << HASH_BITS), mean)
     used = np.flatnonzero((has >= _least(n)) & (np.abs(apart) >= min(7.0, 2 + 0.1 * np.sqrt(n))))
     rank = np.full(1 << HASH_BITS, -1, np.int32)
     rank[used] = np.arange(len(used))
@@ -224,21 +229,23 @@ def telling(f: Features, label: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
     """quality, toxic: reviewers' labels (1, 0, NaN: none); they are one labeller more of either question."""
-    parts, has = [], np.zeros(1 << HASH_BITS, np.int64)
-    for part in common.slices(pa.record_batch([texts], ["text"]), 1 << 20):
-        own = shapes(part.column(0))
-        f = features(part.column(0), own)
-        has += np.bincount(f.place, minlength=1 << HASH_BITS)
-        parts.append((own, Features(f.text.astype(np.int32), f.place.astype(np.int32), f.insults)))
-    s = {k: np.concatenate([x[k] for x, _ in parts]) for k in BINS}
-    before = np.cumsum([0, *(len(x["words"]) for x, _ in parts)])
-    frequent = [has[y.place] >= _least(len(texts)) for _, y in parts]
-    f = Features(
-        np.concatenate([y.text[m] + np.int32(b) for (_, y), m, b in zip(parts, frequent, before, strict=False)]),
-        np.concatenate([y.place[m] for (_, y), m in zip(parts, frequent, strict=True)]),
-        np.concatenate([y.insults for _, y in parts]),
-    )
-    del parts, frequent
+    size = 1 << HASH_BITS
+    pieces = list(common.slices(pa.record_batch([texts], ["text"]), 1 << 20))
+    before = np.cumsum([0, *(p.num_rows for p in pieces)])
+    figures = [shapes(p.column(0)) for p in pieces]
+    s = {k: np.concatenate([x[k] for x in figures]) for k in BINS}
+    # first only counts of each feature, by label; then the features that are anywhere near telling, few as they are
+    has, ones = np.zeros(size), [np.zeros(size), np.zeros(size)]
+    labels = [quality == 0, toxic == 1]
+    for p, own, at in zip(pieces, figures, before, strict=False):
+        f = features(p.column(0), own)
+        has += np.bincount(f.place, minlength=size)
+        for k in (0, 1):
+            ones[k] += np.bincount(f.place, labels[k][at + f.text], size)
+    far = [np.abs(_apart(has, ones[k], labels[k].mean())) >= 2 for k in (0, 1)]
+    used = (has >= _least(len(texts))) & (far[0] | far[1])
+    parts = [features(p.column(0), own, used) for p, own in zip(pieces, figures, strict=True)]
+    f = Features(np.concatenate([x.text + b for x, b in zip(parts, before, strict=False)]), np.concatenate([x.place for x in parts]), np.concatenate([x.insults for x in parts]))
     review = np.where(np.isnan(quality), NO_VOTE, np.where(quality > 0, GOOD, BAD))
     bad_form = label_model(np.column_stack((quality_votes(s), review)))
     review = np.where(np.isnan(toxic), NO_VOTE, np.where(toxic > 0, BAD, GOOD))
