@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quernstone.engine import Engine
 from quernstone.operators import vector
 from quernstone.sources import scans
+from quernstone.sources.tables import VersionedTable
 from quernstone.streaming import streams
 from quernstone.session import table
 
@@ -89,6 +90,17 @@ def _copy_ordered(spark, sf_dir):
     return scans.parquet(spark, path).where("l_partkey BETWEEN 10 AND 20").select("l_orderkey", "l_linenumber")
 
 
+@query("s18_changes", """SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey >= 5
+UNION ALL SELECT 100000, 'new', 0.5""")
+def _changes(spark, sf_dir):
+    t = VersionedTable(spark, _folder(spark)).create(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    t.delete(F.col("s_suppkey") < 5)
+    t.update({"s_acctbal": F.col("s_acctbal") + 1}, F.col("s_suppkey") % 3 == 0)
+    t.insert(scans.values(spark, [(100000, "old", 0.1)], "s_suppkey bigint, s_name string, s_acctbal double"))
+    t.merge(scans.values(spark, [(100000, "new", 0.5)], "s_suppkey bigint, s_name string, s_acctbal double"), "s_suppkey")
+    return t.read()
+
+
 def _query_vector(spark, sf_dir) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"])
 

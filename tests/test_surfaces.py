@@ -191,3 +191,59 @@ def test_as_of_and_distinct_on_with_nulls(spark):
 def test_small_checks_the_size(spark, sf_dir):
     assert "broadcast" in scans.small(table(spark, sf_dir, "nation"))._jdf.queryExecution().logical().toString()
     assert "broadcast" not in scans.small(table(spark, sf_dir, "lineitem"), 10)._jdf.queryExecution().logical().toString()
+
+
+def test_dynamic_partition_pruning(spark, sf_dir, tmp_path):
+    scans.write(table(spark, sf_dir, "customer").withColumn("part", F.col("c_nationkey")), f"{tmp_path}/p", by=["part"])
+    nation = table(spark, sf_dir, "nation").where("n_name = 'NATION_3'")
+    df = scans.parquet(spark, f"{tmp_path}/p").join(nation, F.col("part") == F.col("n_nationkey"))
+    assert "dynamicpruningexpression" in plan(df)
+    assert df.count() == table(spark, sf_dir, "customer").where("c_nationkey = 3").count()
+
+
+def test_versions_stay_readable(spark, tmp_path):
+    from quernstone.sources.tables import VersionedTable
+
+    t = VersionedTable(spark, f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        t.read()
+    t.create(scans.values(spark, [(1, None), (2, 5)], "k int, v int"))
+    with pytest.raises(ValueError):
+        t.create(t.read())
+    t.delete(F.col("v") > 1)
+    assert [tuple(r) for r in t.read().collect()] == [(1, None)]
+    assert t.read(0).count() == 2
+    with pytest.raises(ValueError):
+        t.read(9)
+
+
+def test_counted_reduces_before_it_joins(spark, sf_dir):
+    p = plan(joins.counted(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey"))
+    assert p.index("Join") < p.index("HashAggregate")  # the plan prints its root first
+
+
+def test_top_n_keeps_n_rows_a_task(spark, sf_dir):
+    assert "TakeOrderedAndProject" in plan(ordering.top_n(table(spark, sf_dir, "orders"), 5, "-o_totalprice", "o_orderkey"))
+
+
+def test_top_per_group_cuts_groups_before_the_shuffle(spark, sf_dir):
+    df = ordering.top_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], 2, "-o_totalprice", "o_orderkey")
+    assert plan(df).count("WindowGroupLimit") == 2
+
+
+def test_empty_sides_of_joins(spark):
+    a, none = scans.values(spark, [(1, 2)], "k int, v int"), scans.empty(spark, "k int, w int")
+    assert a.join(none, "k").count() == 0 and a.join(none, "k", "left").count() == 1
+    assert joins.mark(a, none, "k", "k").first().mark is False
+    assert joins.as_of(a.withColumnRenamed("v", "t"), scans.empty(spark, "k int, t int, w int"), "k", "t", ["w"]).first().w is None
+    assert joins.positional(a, scans.empty(spark, "z int"), ["k"], ["z"]).count() == 1
+
+
+def test_salted_and_range_joins_against_plain_ones(spark):
+    a = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    b = spark.range(14).select((F.col("id") % 7).alias("k"), F.col("id").alias("j"))
+    assert sorted(map(tuple, joins.salted(a, b, "k", 3).select("k", "id", "j").collect())) == sorted(map(tuple, a.join(b, "k").select("k", "id", "j").collect()))
+    r = scans.values(spark, [(0.5, 9.5), (9.0, 31.0), (5.0, 5.0), (-3.0, 0.0)], "lo double, hi double")
+    got = joins.in_range(spark.range(40), r, "id", "lo", "hi", 4)
+    want = spark.range(40).join(r, (F.col("id") >= F.col("lo")) & (F.col("id") < F.col("hi")))
+    assert sorted(map(tuple, got.select("id", "lo").collect())) == sorted(map(tuple, want.select("id", "lo").collect()))
