@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BLOCK_BYTES = 8 << 20
 _BLOCK = "block long, payload binary"
 _QUESTION = "bucket long, block long, payload binary"
@@ -66,6 +68,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield close()
 
+    common.ship(docs.sparkSession)
     return docs.mapInArrow(fill, _BLOCK).repartition("block")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to Python workers, once a session; on a PYTHONPATH it is known already."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quernstone", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="quernstone-")) / "quernstone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted((root / "quernstone").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._quernstone = True
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts its lineage, and survives the loss of executors."""
     spark = df.sparkSession

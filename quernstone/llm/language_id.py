@@ -161,6 +161,7 @@ def identify(docs: DataFrame, learn_from: Column) -> DataFrame:
                 names = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": score, "bits_per_byte": least / n})
 
+    common.ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 

@@ -101,6 +101,7 @@ def totals(training: DataFrame, buckets: int) -> Totals:
         top = np.argsort(-c, kind="stable")[:most]
         return pa.table({"n": [int(c.sum())], "v": [len(k)], "top": [[{"h": int(h), "c": int(x)} for h, x in zip(k[top].view(np.int64), c[top], strict=True)]]}, _ADDED)
 
+    common.ship(training.sparkSession)
     summed = training.select("text").mapInArrow(count, "bucket long, payload binary").groupBy("bucket").applyInArrow(add, "n long, v long, top array<struct<h: long, c: long>>")
     summed = common.materialise(summed, "lm-totals")
     n, v = summed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()

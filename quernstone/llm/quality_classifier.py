@@ -296,6 +296,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
                 p = shared.value(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < threshold).all(1))], [*part.schema.names, "bad_form", "toxic", "keep"])
 
+    common.ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True) -> DataF
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
 
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common.ship(docs.sparkSession)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -180,6 +181,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0].view(np.int64)), "b": pa.array(pairs[1].view(np.int64))})
 
     rows = distinct.select("fp", F.explode(keys).alias("key"))
+    common.ship(distinct.sparkSession)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 

@@ -97,6 +97,7 @@ def indices(slot: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def sequences(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     """Each partition's documents, an end after each, cut into sequences of length tokens; a partition's last one is filled up with ends."""
     spark = docs.sparkSession
+    common.ship(spark)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # one vocabulary file
 

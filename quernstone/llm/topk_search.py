@@ -178,6 +178,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     two cover trees are searched together. Figures of cells, CELLS at most, reach the driver; rows don't.
     """
     spark = vectors.sparkSession
+    common.ship(spark)
     x = F.transform("embedding", lambda e: _floor(scale * e.cast("double")))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
