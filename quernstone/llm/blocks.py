@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from . import common
 
 BLOCK_BYTES = 8 << 20
 _BLOCK = "block long, payload binary"
-_QUESTION = "bucket long, block long, payload binary"
+_QUESTION = "bucket long, block long, sum long, payload binary"
 
 
 def _freeze(tables: list[pa.RecordBatch]) -> bytes:
@@ -37,6 +38,11 @@ def _freeze(tables: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _sum(payload: pa.Buffer) -> int:
+    """A block's checksum: answers are for the very block that asked."""
+    return xxhash.xxh64_intdigest(memoryview(payload)) >> 1
+
+
 def _thaw(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
@@ -44,7 +50,9 @@ def _thaw(payload: bytes) -> pa.Table:
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Packs the rows of docs, whatever its columns, into one compressed row per block and deals the blocks out.
 
-    A partition's rows fill its blocks in turn; a block ends when it holds block_bytes or more, so the number of blocks follows the input.
+    A partition's rows fill its blocks in turn; a block ends when it holds block_bytes or more, so the number of blocks follows the input. If an
+    executor is lost, its blocks are packed again: a partition's rows must then come in the same order, as those of files do. Were they not, exchange()
+    would fail by the blocks' checksums rather than mix up answers.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +100,9 @@ def exchange(
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                held, size = [], 0
+                held, size, total = [], 0, _sum(payload.as_buffer())
                 for bucket, question in ask(_thaw(payload.as_buffer())):
-                    held.append((bucket, block, question))
+                    held.append((bucket, block, total, question))
                     size += len(question)
                     if size > 16 << 20:
                         yield rows(held)
@@ -102,18 +110,20 @@ def exchange(
                 if held:
                     yield rows(held)
 
-    def rows(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        k, b, q = zip(*held, strict=True)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(k, pa.int64()), "block": pa.array(b, pa.int64()), "payload": pa.array(q, pa.binary())})
+    def rows(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        *numbers, questions = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(questions, pa.binary())], ["bucket", "block", "sum", "payload"])
 
     def answering(t: pa.Table) -> pa.Table:
         said = answer([x.as_buffer().to_pybytes() for x in t.column("payload")])
-        return pa.table({"bucket": t.column("bucket"), "block": t.column("block"), "payload": pa.array(said, pa.binary())})
+        return t.set_column(t.schema.get_field_index("payload"), "payload", pa.array(said, pa.binary()))
 
     def using(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True)) if right.num_rows else {}
-        parts = [use(_thaw(payload.as_buffer()), got) for payload in left.column("payload")]
-        return pa.concat_tables(parts)
+        (payload,) = left.column("payload")
+        if right.num_rows and set(right.column("sum").to_pylist()) != {_sum(payload.as_buffer())}:
+            raise RuntimeError("a block was packed again from rows in another order: write its input to files first")
+        return use(_thaw(payload.as_buffer()), got)
 
     questions = blocks.mapInArrow(asking, _QUESTION)
     answers = questions.groupBy("bucket").applyInArrow(answering, _QUESTION)

@@ -194,3 +194,22 @@ def test_one_of_each_keeps_one_near_copy(spark):
     assert 300 in ids and not {301, 302, 304, 303} & set(ids)
     assert {*range(100, 130), -5, 8, 9, 10} <= set(ids) and ids.count(12) == 1
     assert simhash_dedup.one_of_each(empty(spark)).count() == 0
+
+
+def test_blocks_of_another_order_fail(spark):
+    """Answers to a block that has changed since it asked are not used."""
+    docs = documents(spark, [(1, "a b"), (2, "c d")]).coalesce(1).select("doc_id", "text")
+    packed = blocks.blocks_of(docs)
+    turned = packed.withColumn("payload", F.when(F.rand() < 2, F.col("payload")))
+    ok = blocks.exchange(turned, lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long")
+    assert ok.count() == 2
+
+    def other(batches):
+        import os
+
+        for b in batches:
+            yield b.set_column(1, "payload", pa.array([blocks._freeze([pa.record_batch([pa.array([os.getpid()]), pa.array([os.urandom(4).hex()])], ["doc_id", "text"])]) for _ in range(b.num_rows)]))
+
+    bad = blocks.exchange(packed.mapInArrow(other, "block long, payload binary"), lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long")
+    with pytest.raises(Exception, match="another order"):
+        bad.count()
