@@ -15,6 +15,8 @@ from .components import components
 #: Seed of the shingles' XXH64.
 SEED = 42
 _CHUNK = 1 << 19
+#: Links of a fingerprint in a run that are looked at once the first ones have failed; each further round takes so many times as many.
+FIRST = 8
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,19 +103,22 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of a run: each component takes its closest link outwards until there is none (Boruvka). Memory is one
-    strip of comparisons."""
+def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that span the components of a run: each component takes its closest link outwards until there is none (Boruvka). Also the number of
+    links that each member has in all. Memory is one strip of comparisons."""
     n = len(fp)
-    label, a, b = np.arange(n), [], []
+    label, a, b, degree = np.arange(n), [], [], None
     strip = max(1, (1 << 22) // n)
     while True:
-        gap, to = np.empty(n, np.int64), np.empty(n, np.int64)
+        gap, to, met = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
         for at in range(0, n, strip):
             d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :]).astype(np.int64)
+            if degree is None:
+                met[at : at + strip] = (d <= radius).sum(1) - 1
             d[label[at : at + strip, None] == label[None, :]] = 99
             to[at : at + strip] = d.argmin(1)
             gap[at : at + strip] = d.min(1)
+        degree = met if degree is None else degree
         # the least place breaks ties, so that chosen links make no circle but pairs that choose each other
         order = np.lexsort((np.maximum(np.arange(n), to), np.minimum(np.arange(n), to), gap, label))
         first = order[common.runs_of(label[order])[0]]
@@ -124,12 +129,44 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         b.append(to[first])
         for x, y in zip(first.tolist(), to[first].tolist(), strict=True):
             label[label == max(label[x], label[y])] = min(label[x], label[y])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+    none = np.empty(0, np.int64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none, degree
+
+
+def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member of a run the closest links, most of them, to members with another root; and the members with links that this leaves out."""
+    n = len(fp)
+    strip = max(1, (1 << 20) // n)
+    a, b, more = [], [], []
+    for at in range(0, n, strip):
+        d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :])
+        x, y = np.nonzero((d <= radius) & (root[at : at + strip, None] != root[None, :]))
+        order = np.lexsort((d[x, y], x))
+        x, y = x[order], y[order]
+        starts, lengths = common.runs_of(x)
+        rank = np.arange(len(x)) - np.repeat(starts, lengths)
+        a.append(at + x[rank < most])
+        b.append(y[rank < most])
+        more.append(at + np.unique(x[rank >= most]))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
+
+
+def _parts(run: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Places of a run that are compared with each other; all pairs within the radius meet in one at least."""
+    if len(run) <= 4096 or radius >= 8:
+        return [np.arange(len(run))]
+    octets = run.view(np.uint8).reshape(-1, 8)  # some byte of eight is then the same
+    return [p for k in range(8) for o in [np.argsort(octets[:, k], kind="stable")] for p in np.split(o, np.flatnonzero(np.diff(octets[o, k])) + 1) if len(p) > 1]
 
 
 def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of each run: all of a short run's, a spanning forest of a long one's."""
-    a, b = [], []
+    return _links_and_rest(fp, starts, lengths, radius)[:2]
+
+
+def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_links() and the places in fp of the members of those runs that have more links than these."""
+    a, b, rest = [fp[:0]], [fp[:0]], [np.empty(0, np.int64)]
     short = lengths <= 8
     s, n = starts[short], lengths[short]
     for gap in range(1, int(n.max()) if len(n) else 0):
@@ -141,15 +178,15 @@ def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int)
             b.append(y[ok])
     for start, length in zip(starts[~short], lengths[~short], strict=True):
         run = fp[start : start + length]
-        parts = [np.arange(length)]
-        if length > 4096 and radius < 8:  # some byte of eight is then the same
-            octets = run.view(np.uint8).reshape(-1, 8)
-            parts = [p for k in range(8) for o in [np.argsort(octets[:, k], kind="stable")] for p in np.split(o, np.flatnonzero(np.diff(octets[o, k])) + 1) if len(p) > 1]
-        for p in parts:
-            x, y = _forest(run[p], radius)
+        left = np.zeros(length, bool)
+        for p in _parts(run, radius):
+            x, y, degree = _forest(run[p], radius)
             a.append(run[p][x])
             b.append(run[p][y])
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+            if degree.sum() > 2 * len(x):
+                left[p[degree > 0]] = True
+        rest.append(start + np.flatnonzero(left))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(rest)
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -158,31 +195,87 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     Rows with one signature lie together and are compared there; of a long run only a spanning forest leaves the task. Rows of a signature
     are distinct fingerprints, at most N / 2^31 of N random ones for radius 3.
     """
+    return _compared(_signed_rows(distinct, radius), radius, rest=False).select("a", "b")
+
+
+def _signed_rows(distinct: DataFrame, radius: int) -> DataFrame:
     keys, _ = variants(F.col("fp"), radius)
+    return distinct.select("fp", F.explode(keys).alias("key"))
+
+
+def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True) -> DataFrame:
+    """(a, b, more) from rows (key, fp), each key's rows compared with each other. more is false: a link (a, b), as links() gives them; with rows (key, fp, root)
+    and most, the closest links, most of them, of each row to rows with another root. more is true, only if rest: the row of key a and fingerprint b has links
+    that are not among those given, or is in a run that has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
         for batch in batches:
-            key = np.concatenate((key, batch.column("key").to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-            last = np.searchsorted(key, key[-1]) if len(key) else 0  # the last run may go on
+            new = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "fp", "root" if most else "key")]
+            held = [np.concatenate(x) for x in zip(held, (new[0], new[1].view(np.uint64), new[2]), strict=True)]
+            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last run may go on
             if last:
-                yield from linked(key[:last], fp[:last])
-                key, fp = key[last:], fp[last:]
-        yield from linked(key, fp)
+                yield from linked(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        yield from linked(*held)
 
-    def linked(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts, lengths = common.runs_of(key)
         several = lengths > 1
-        a, b = _links(fp, starts[several], lengths[several], radius)
-        if len(a):
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack((a, b)), axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0].view(np.int64)), "b": pa.array(pairs[1].view(np.int64))})
-
-    rows = distinct.select("fp", F.explode(keys).alias("key"))
-    common.ship(distinct.sparkSession)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+        starts, lengths = starts[several], lengths[several]
+        if not most:
+            a, b, more = _links_and_rest(fp, starts, lengths, radius)
+            yield from batch_of(a, b, key, fp, more)
+            return
+        for start, length in zip(starts, lengths, strict=True):
+            of_run = fp[start : start + length]
+            for p in _parts(of_run, radius):
+                a, b, more = _between(of_run[p], root[start + p], radius, most)
+                # whatever a member that has more links may meet is needed again
+                more = p[np.unique(np.concatenate((more, np.flatnonzero(_near_any(of_run[p], of_run[p][more], radius)))))] if len(more) else more
+                yield from batch_of(of_run[p][a], of_run[p][b], key, fp, start + more)
+
+    def batch_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, fp: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1).view(np.int64)
+        more = more if rest else more[:0]
+        if pairs.shape[1] + len(more):
+            left, right = np.concatenate((pairs[0], key[more])), np.concatenate((pairs[1], fp[more].view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left), "b": pa.array(right), "more": pa.array(np.arange(len(left)) >= pairs.shape[1])})
+
+    common.ship(rows.sparkSession)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, more boolean")
+
+
+def _near_any(fp: np.ndarray, some: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a fingerprint is near one of some."""
+    out = np.zeros(len(fp), bool)
+    strip = max(1, (1 << 20) // max(1, len(fp)))
+    for at in range(0, len(some), strip):
+        out |= _near(some[at : at + strip, None], fp[None, :], radius).any(0)
+    return out
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect just those fingerprints of nodes (fp, least) which chains of links connect that verified() holds for.
+
+    First the links of links() are looked at. Where long runs have more, the closest of those that join two components of what was found are looked at,
+    FIRST of each fingerprint and run, then FIRST times as many, until no link that joins two components is left. So a group whose links hold
+    takes about as many looks as it has members; only links that fail make it look at more, at all of them if need be.
+    """
+    found = common.materialise(_compared(_signed_rows(nodes.select("fp"), radius), radius), "candidate-links")
+    good = tried = None
+    most = FIRST
+    while True:
+        fresh = found.where(~F.col("more")).select("a", "b").distinct()
+        fresh = common.materialise(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh-links")
+        held = common.materialise(verified(fresh, docs, nodes, similarity), "similar-links")
+        good, tried = (held, fresh) if good is None else (good.union(held), tried.union(fresh))
+        rest = found.where("more").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
+        if rest.isEmpty():
+            return good
+        rooted = rest.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        found = common.materialise(_compared(rooted, radius, most), "candidate-links")
+        most *= FIRST
 
 
 def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, width: int = 5) -> DataFrame:
@@ -213,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
     Words are lower-cased (A-Z); shingles are width words joined by a space, repeats included unless repeats is false; fewer words give the
     whole sequence as one shingle, none the fingerprint zero, which is linked like any other. Two rows are linked if their fingerprints differ in radius
     bits or fewer. similarity: if given, different fingerprints are linked only if the texts' sets of five-word shingles are also so similar
-    (Jaccard); of a long run of equal signatures then only the links of a spanning forest, closest first, are looked at.
+    (Jaccard); every such pair is in one component, however long the runs of equal signatures are.
 
     Nulls: a null text has no words; a null doc_id is never a component_id unless a component holds nothing else, which gives null. Ties and
     repeated rows share a fingerprint and a component. An empty table gives an empty result. Other columns of docs are ignored.
@@ -222,9 +315,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
     """
     prints = common.materialise(fingerprints(docs, width, repeats), "fingerprints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = links(nodes.select("fp"), radius)
-    if similarity is not None:
-        edges = verified(common.materialise(edges.distinct(), "candidate-links"), docs, nodes, similarity)
+    edges = links(nodes.select("fp"), radius) if similarity is None else similar_links(docs, nodes, radius, similarity)
     found = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

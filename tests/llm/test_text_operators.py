@@ -213,3 +213,44 @@ def test_blocks_of_another_order_fail(spark):
     bad = blocks.exchange(packed.mapInArrow(other, "block long, payload binary"), lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long")
     with pytest.raises(Exception, match="another order"):
         bad.count()
+
+
+@pytest.mark.parametrize("first", [8, 2])
+def test_similar_links_of_a_group_of_near_copies_are_those_of_brute_force(spark, first, monkeypatch):
+    """A link that fails must not cut off fingerprints that other links of a long run connect."""
+    monkeypatch.setattr(simhash_dedup, "FIRST", first)
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, length in enumerate((100, 200, 300)):
+        base = [f"w{rng.integers(5000)}" for _ in range(length)]
+        for k in range(300):
+            w = list(base)
+            for at in rng.choice(length, rng.integers(1, 1 + length // 18), replace=False):
+                w[at] = f"x{rng.integers(5000)}"
+            rows.append((1000 * g + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r.doc_id: r.fp % (1 << 64) for r in simhash_dedup.fingerprints(docs, 2, False).collect()}
+    least = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        least.setdefault(fp[i], (i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+    fps = list(least)
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for n, a in enumerate(fps):
+        for b in fps[:n]:
+            x, y = least[a][1], least[b][1]
+            if (a ^ b).bit_count() <= 7 and len(x & y) >= 0.8 * len(x | y):
+                root[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for i, _ in rows:
+        groups[find(fp[i])].append(i)
+    want = {i: min(group) for group in groups.values() for i in group}
+    assert len(groups) > 3 and max(map(len, groups.values())) > 8
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, 2, 7, False, 0.8).collect()}
+    assert got == want
