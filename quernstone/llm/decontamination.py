@@ -67,13 +67,13 @@ def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     small = first.count() <= BROADCAST_SHINGLES
     hint = F.broadcast if small else lambda x: x
 
-    # a window similar enough shares 2 s / (1 + s) of its shingles with the item: each such window starts where a shared shingle puts it
-    share = 2 * SIMILARITY / (1 + SIMILARITY)
+    # a window similar enough shares s / (1 + s) of its and the item's shingles together: each such window starts where a shared shingle puts it
+    share = SIMILARITY / (1 + SIMILARITY)
     hashed = docs.select("doc_id", "key", shingles(F.col("words"), width).alias("shingles"))
-    met = hashed.select("doc_id", "key", F.posexplode("shingles").alias("pos", "h")).join(hint(first), "h")
-    starts = met.groupBy("doc_id", "key", "item_id", "n", "m", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
-    starts = starts.groupBy("doc_id", "key", "item_id", "n", "m").agg(F.sum("votes").alias("votes"), F.collect_list("start").alias("starts"))
-    starts = starts.where(F.col("votes") >= share * F.col("m") - 1e-9).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n", "starts").distinct()
+    met = hashed.select("doc_id", "key", F.size("shingles").alias("size"), F.posexplode("shingles").alias("pos", "h")).join(hint(first), "h")
+    starts = met.groupBy("doc_id", "key", "size", "item_id", "n", "m", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
+    starts = starts.groupBy("doc_id", "key", "size", "item_id", "n", "m").agg(F.sum("votes").alias("votes"), F.collect_list("start").alias("starts"))
+    starts = starts.where(F.col("votes") >= share * (F.col("m") + F.least("m", "size")) - 1e-9).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n", "starts").distinct()
 
     paired = hashed.join(starts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     size = F.size("shingles")

@@ -132,6 +132,17 @@ def test_op6(spark, leaks):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_op6_documents_shorter_than_an_item(spark):
+    rng = random.Random(21)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((60, 38, 200))]
+    cut = {0: range(45, 57), 1: range(30, 36), 2: (155, 160, 161, 165, 170, 178, 190)}
+    docs = [(1000 * k + n, " ".join(items[k][1].split()[:n])) for k in cut for n in cut[k]]
+    found = decontamination.contaminations(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_similarities(docs, items)
+    assert {(k, 0) for k in range(49, 54)} <= want.keys()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
+
+
 def test_op6_shuffles_a_large_benchmark_alike(spark, leaks, monkeypatch):
     docs, items = leaks
     benchmark = spark.createDataFrame(items[:5], "item_id long, text string")
