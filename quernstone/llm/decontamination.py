@@ -60,6 +60,20 @@ def similarity(a: Column, b: Column) -> Column:
     return common.let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
+def _starts(of: Column) -> Column:
+    """Starts of all windows of span places, size places in all, that hold need or more of the rising places at."""
+
+    def found(x: Column) -> Column:
+        # need places in a row, the last one less than span after the first, are in the windows that start from last - span + 1 to first
+        first = lambda i: F.get(x["at"], i)
+        last = lambda i: F.get(x["at"], i + x["need"] - 1)
+        rows = F.filter(F.sequence(F.lit(0), F.size(x["at"]) - x["need"]), lambda i: last(i) - first(i) < x["span"])
+        around = lambda i: F.sequence(F.greatest(F.lit(0), last(i) - x["span"] + 1), F.least(first(i), x["size"] - x["span"]))
+        return F.array_distinct(F.flatten(F.transform(rows, around)))
+
+    return common.let(of, found)
+
+
 def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """Of items whose shingles have width words: (doc_id, item_id, start, similarity), the best window of each document and item."""
     own = items.withColumn("shingles", shingles(F.col("words"), width)).select("item_id", F.size("words").alias("n"), "shingles", fingerprint(F.col("shingles")).alias("item_fp"))
@@ -67,19 +81,22 @@ def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     small = first.count() <= BROADCAST_SHINGLES
     hint = F.broadcast if small else lambda x: x
 
-    # a window similar enough shares s / (1 + s) of its and the item's shingles together: each such window starts where a shared shingle puts it
+    # a window similar enough shares s / (1 + s) of its and the item's shingles together: it holds so many shared places,
+    # in whatever order, and every window that does is looked at
     share = SIMILARITY / (1 + SIMILARITY)
     hashed = docs.select("doc_id", "key", shingles(F.col("words"), width).alias("shingles"))
     met = hashed.select("doc_id", "key", F.size("shingles").alias("size"), F.posexplode("shingles").alias("pos", "h")).join(hint(first), "h")
-    starts = met.groupBy("doc_id", "key", "size", "item_id", "n", "m", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
-    starts = starts.groupBy("doc_id", "key", "size", "item_id", "n", "m").agg(F.sum("votes").alias("votes"), F.collect_list("start").alias("starts"))
-    starts = starts.where(F.col("votes") >= share * (F.col("m") + F.least("m", "size")) - 1e-9).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n", "starts").distinct()
+    starts = met.groupBy("doc_id", "key", "size", "item_id", "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    starts = starts.withColumn("span", F.least("m", "size")).withColumn("need", F.ceil(share * (F.col("m") + F.col("span")) - 1e-9).cast("int"))
+    starts = starts.where(F.size("at") >= F.col("need")).withColumn("starts", _starts(F.struct("at", "need", "span", "size")))
+    starts = starts.where(F.size("starts") > 0).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n", F.explode("starts").alias("start")).distinct()
 
     paired = hashed.join(starts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    size = F.size("shingles")
-    span = F.least(F.col("n") - (width - 1), size)
-    opened = paired.select("doc_id", "key", "shingles", "n", span.alias("span"), F.explode(F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, size - span))))).alias("start"))
-    windows = opened.select("doc_id", "key", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("span")).alias("window")).distinct()
+    span = F.least(F.col("n") - (width - 1), F.size("shingles"))
+    # few bytes but much work: partitions by number are not merged
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = paired.select("doc_id", "key", "n", "start", F.slice("shingles", F.col("start") + 1, span).alias("window"))
+    windows = windows.repartition(parts, "doc_id", "key", "n", "start").distinct()
     windows = windows.withColumn("fp", fingerprint(F.col("window")))
 
     bits = 64 // BLOCKS
@@ -124,7 +141,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     many words long as the item, has a weighted shingle similarity of SIMILARITY or more with it; start is the word at which the best such window begins, the first of equal ones.
 
     Words are lower-cased (A-Z); shingles are WIDTH words, or all words of a shorter item. A document shorter than an item is one window. A window is looked at
-    only if its document has as many of the item's shingles as that similarity needs; its fingerprint is then looked up in the multi-index
+    only if it has as many of the item's shingles, in any order, as that similarity needs; its fingerprint is then looked up in the multi-index
     blocks of items of its size, and pairs within RADIUS bits are compared exactly. A pair that is similar enough but differs in more bits is
     not found: at a similarity of 0.8 about ten bits are to be expected.
 

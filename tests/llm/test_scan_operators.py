@@ -143,6 +143,20 @@ def test_op6_documents_shorter_than_an_item(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
 
 
+def test_op6_items_in_another_order(spark):
+    rng = random.Random(22)
+    items, docs = [], []
+    for k, (n, at) in enumerate([(59, 10), (59, 49), (90, 45), (120, 40), (120, 60), (45, 5), (200, 100)]):
+        items.append((k, sentence(rng, n)))
+        w = items[k][1].split()
+        docs.append((k, f"{sentence(rng, 150)} {' '.join(w[at:] + w[:at])} {sentence(rng, 150)}"))
+        docs.append((100 + k, f"{' '.join(w[at:] + w[:at])} {sentence(rng, 20)}"))
+    found = decontamination.contaminations(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_similarities(docs, items)
+    assert {(k, k) for k in (0, 1, 2, 3)} <= want.keys()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
+
+
 def test_op6_shuffles_a_large_benchmark_alike(spark, leaks, monkeypatch):
     docs, items = leaks
     benchmark = spark.createDataFrame(items[:5], "item_id long, text string")
