@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -86,6 +87,32 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def literal(values: list, kind: str) -> Column:
+    """A list of numbers as one constant; folded before a plan runs, so that its size costs no expression nodes."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+def running(values: Column) -> Column:
+    """For each place of an array of integers the sum of those before it. A chunk of the root of its length at a time, as arrays grow by copying."""
+
+    def heads(x: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        return F.struct(x.alias("values"), step.alias("step"), F.sequence(F.lit(0), F.size(x) - 1, step).alias("heads"))
+
+    grow = lambda s, v: F.struct((s.at + v).alias("at"), F.concat(s.out, F.array(s.at)).alias("out"))
+    start = lambda at: F.struct(at.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def based(x: Column) -> Column:
+        sums = F.transform(x.heads, lambda h: F.aggregate(F.slice(x.values, h + 1, x.step), F.lit(0).cast("bigint"), lambda s, v: s + v))
+        return F.struct(x.values.alias("values"), x.step.alias("step"), x.heads.alias("heads"), F.aggregate(sums, start(F.lit(0)), grow, lambda s: s.out).alias("bases"))
+
+    def chunks(x: Column) -> Column:
+        return F.flatten(F.transform(x.heads, lambda h, k: F.aggregate(F.slice(x.values, h + 1, x.step), start(F.get(x.bases, k)), grow, lambda s: s.out)))
+
+    summed = lambda x: let(let(heads(x), based), chunks)
+    return let(values, lambda x: F.when(F.size(x) > 0, summed(x)).otherwise(F.array().cast("array<bigint>")))
+
+
 # ---- packed integers -------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +14,12 @@ from . import common
 
 #: Words a shingle, least similarity.
 WIDTH, SIMILARITY = 5, 0.8
-#: Two fingerprints that differ in RADIUS bits or fewer agree in one of BLOCKS blocks of 64 / BLOCKS bits.
-RADIUS, BLOCKS = 15, 16
-#: A benchmark is broadcast only if it has no more shingles than this; else it is shuffled.
-BROADCAST_SHINGLES = 1 << 18
+#: Fingerprints that differ in RADIUS bits or fewer differ in RADIUS // BLOCKS or fewer in one of BLOCKS blocks of 64 / BLOCKS bits.
+RADIUS, BLOCKS = 19, 4
+#: Benchmark shingles are marked in a bitmap of at most this many longs; index rows are broadcast only up to this number, else shuffled.
+BITMAP_LONGS, BROADCAST_ROWS = 1 << 18, 1 << 21
+#: Starts of windows that one row holds at most.
+STARTS = 2048
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -28,134 +33,323 @@ def shingles(words: Column, width: int) -> Column:
     return common.let(words, hashed)
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash: a bit is 1 if it is set in over half of the hashes, repeats included. Sixteen longs count four bits each in lanes of 16 bits."""
-    ones = F.lit(0x0001000100010001).cast("long")
+# ---- fingerprints ----------------------------------------------------------------------------------------------------
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
+def _lanes(most: int) -> int:
+    """Bits of a lane that counts up to most; the topmost lane of a long stays below its sign."""
+    return 16 if most < 1 << 15 else 32
+
+
+def _spread(lane: int) -> Column:
+    return _long(sum(1 << (lane * q) for q in range(64 // lane)))
+
+
+def _tally(hashes: Column, lane: int) -> Column:
+    """How often each bit is set among hashes: lane longs, each with 64 / lane counts; the first counts bits 0, lane, 2 * lane ..."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(lane)])
 
     def count(state: Column, h: Column) -> Column:
-        return F.struct((state.n + 1).alias("n"), *[(state[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"c{j}") for j in range(16)])
+        return F.struct(*[(state[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(_spread(lane))).alias(f"c{j}") for j in range(lane)])
+
+    return F.aggregate(hashes, zero, count)
+
+
+def _majority(tally: Column, n: Column, lane: int) -> Column:
+    """The bits set in over half of n hashes."""
+    mask = _long((1 << lane) - 1)
+
+    def one(j: int, q: int) -> Column:
+        return F.when(F.shiftrightunsigned(tally[f"c{j}"], lane * q).bitwiseAND(mask) * 2 > n, _long(1 << (lane * q + j))).otherwise(_long(0))
+
+    return reduce(lambda a, b: a.bitwiseOR(b), [one(j, q) for j in range(lane) for q in range(64 // lane)])
+
+
+def fingerprint(hashes: Column, most: int = (1 << 31) - 1) -> Column:
+    """SimHash of most hashes or fewer: a bit is 1 if it is set in over half of them, repeats included."""
+    lane = _lanes(most)
+    return common.let(hashes, lambda h: common.let(F.struct(_tally(h, lane).alias("t"), F.size(h).alias("n")), lambda x: _majority(x.t, x.n, lane)))
+
+
+def slid(hashes: Column, span: Column, most: int) -> Column:
+    """Fingerprints of all windows of span hashes, by start. Blocks of about the root of span hashes are tallied once, a window then adds whole
+    blocks and the hashes at its ends. most: no span is longer."""
+    lane = _lanes(most)
+    names = [f"c{j}" for j in range(lane)]
+    plus = lambda a, b: F.struct(*[(a[c] + b[c]).alias(c) for c in names])
+
+    def blocked(x: Column) -> Column:
+        number = F.floor(F.size(x.h) / x.step).cast("int")
+        blocks = F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), lambda b: _tally(F.slice(x.h, b * x.step + 1, x.step), lane)))
+        return F.struct(x.h.alias("h"), x.span.alias("span"), x.step.alias("step"), blocks.alias("blocks"))
+
+    def windows(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            first = F.ceil(i / x.step).cast("int")
+            last = F.floor((i + x.span) / x.step).cast("int")
+            before = F.slice(x.h, i + 1, first * x.step - i)
+            after = F.slice(x.h, last * x.step + 1, i + x.span - last * x.step)
+            ends = _tally(F.concat(before, after), lane)
+            inside = F.aggregate(F.slice(x.blocks, first + 1, last - first), ends, plus)
+            return _majority_of(F.when(last > first, inside).otherwise(_tally(F.slice(x.h, i + 1, x.span), lane)), x.span)
+
+        return F.transform(F.sequence(F.lit(0), F.size(x.h) - x.span), one)
+
+    def _majority_of(tally: Column, n: Column) -> Column:
+        return common.let(F.struct(tally.alias("t"), n.alias("n")), lambda y: _majority(y.t, y.n, lane))
+
+    step = F.greatest(F.lit(2), F.ceil(F.sqrt(span.cast("double")) * 0.8)).cast("int")
+    return common.let(common.let(F.struct(hashes.alias("h"), span.alias("span"), step.alias("step")), blocked), windows)
+
+
+# ---- the index -------------------------------------------------------------------------------------------------------
+
+
+def _masks(bits: int, most: int) -> list[int]:
+    return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)]
+
+
+def _places() -> list[tuple[int, int, int]]:
+    """Lowest bit, width and most differing bits of each block: with all of them exceeded, more than RADIUS bits differ."""
+    width, more = 64 // BLOCKS, (RADIUS + 1) % BLOCKS
+    return [(b * width, width, (RADIUS + 1) // BLOCKS - 1 + (b < more)) for b in range(BLOCKS)]
+
 
-    def bits(state: Column) -> Column:
-        half = state.n
-        lane = lambda j, q: F.shiftrightunsigned(state[f"c{j}"], 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        one = lambda j, q: F.when(lane(j, q) * 2 > half, F.lit(_signed(1 << (16 * q + j)))).otherwise(F.lit(0).cast("long"))
-        return reduce(lambda a, b: a.bitwiseOR(b), [one(j, q) for j in range(16) for q in range(4)])
+def _block_key(fp: Column, size: Column, b: int) -> Column:
+    low, width, _ = _places()[b]
+    value = F.shiftrightunsigned(fp, low).bitwiseAND(_long((1 << width) - 1))
+    return (size.cast("long") * BLOCKS + b) * (1 << width) + value
 
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", *(f"c{j}" for j in range(16)))])
-    return F.aggregate(hashes, zero, count, bits)
 
+def window_keys(fp: Column, size: Column) -> Column:
+    """One key for each block of a window's fingerprint."""
+    return F.array(*[_block_key(fp, size, b) for b in range(BLOCKS)])
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+
+def index_rows(items: DataFrame) -> DataFrame:
+    """(key, fp, m, item): of each fingerprint of items (fp, m, item) one row for each value near enough to one of its blocks: a lookup is an equality."""
+    rows = []
+    for b, (_, width, most) in enumerate(_places()):
+        masks = common.literal(_masks(width, most), "array<bigint>")
+        rows.append(items.select("fp", "m", "item", F.explode(masks).alias("x"), _block_key(F.col("fp"), F.col("m"), b).alias("k")))
+    return reduce(DataFrame.unionByName, rows).select(F.col("k").bitwiseXOR(F.col("x")).alias("key"), F.col("fp").alias("item_fp"), "item")
+
+
+def _met_first(fp: Column, item_fp: Column, key: Column) -> Column:
+    """Whether the block of key is the first of those in which two fingerprints are near enough: so a pair is met once."""
+    differ = fp.bitwiseXOR(item_fp)
+    near = [F.bit_count(F.shiftrightunsigned(differ, low).bitwiseAND(_long((1 << width) - 1))) <= most for low, width, most in _places()]
+    first = reduce(lambda other, b: F.when(near[b], F.lit(b)).otherwise(other), reversed(range(BLOCKS)), F.lit(-1))
+    return F.shiftrightunsigned(key, 64 // BLOCKS).bitwiseAND(F.lit(BLOCKS - 1).cast("long")) == first
+
+
+# ---- exact similarity ------------------------------------------------------------------------------------------------
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays as multisets: the sum of the smaller counts over the sum of the larger."""
-    count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
+    """Weighted Jaccard similarity of two arrays as multisets: the sum of the smaller counts over the sum of the larger. Sorted, the two are
+    walked together."""
+
+    def walk(x: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            u, v = F.get(x.a, s.i), F.get(x.b, s.j)
+            left, right = F.coalesce(u <= v, v.isNull() & u.isNotNull()), F.coalesce(v <= u, u.isNull() & v.isNotNull())
+            return F.struct((s.i + left.cast("int")).alias("i"), (s.j + right.cast("int")).alias("j"), (s.both + (left & right).cast("int")).alias("both"))
 
-    def share(x: Column) -> Column:
-        both = F.aggregate(F.array_distinct(x.a), F.lit(0), lambda s, h: s + F.least(count(x.a, h), count(x.b, h))).cast("double")
-        return both / (F.size(x.a) + F.size(x.b) - both)
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("both"))
+        total = F.size(x.a) + F.size(x.b)
+        return F.aggregate(F.sequence(F.lit(1), total), start, step, lambda s: s.both.cast("double") / (total - s.both))
 
-    return common.let(F.struct(a.alias("a"), b.alias("b")), share)
+    return common.let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), walk)
 
 
-def _starts(of: Column) -> Column:
-    """Starts of all windows of span places, size places in all, that hold need or more of the rising places at."""
+# ---- windows ---------------------------------------------------------------------------------------------------------
 
-    def found(x: Column) -> Column:
-        # need places in a row, the last one less than span after the first, are in the windows that start from last - span + 1 to first
-        first = lambda i: F.get(x["at"], i)
-        last = lambda i: F.get(x["at"], i + x["need"] - 1)
-        rows = F.filter(F.sequence(F.lit(0), F.size(x["at"]) - x["need"]), lambda i: last(i) - first(i) < x["span"])
-        around = lambda i: F.sequence(F.greatest(F.lit(0), last(i) - x["span"] + 1), F.least(first(i), x["size"] - x["span"]))
-        return F.array_distinct(F.flatten(F.transform(rows, around)))
 
-    return common.let(of, found)
+def _bitmap(items: DataFrame) -> tuple[Column, int]:
+    """Marks of the benchmark's shingles by the upper bits of their hash, as an array of longs, and the shift that leaves a hash's place. Its size follows
+    the benchmark up to BITMAP_LONGS; beyond that it marks more that is none, which costs time and loses nothing."""
+    held = items.select(F.explode("item").alias("h"))
+    number = held.count()
+    bits = min(BITMAP_LONGS.bit_length() - 1 + 6, max(10, (64 * max(1, number) - 1).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    marks = held.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(one).alias("b"))
+    words = [0] * (1 << (bits - 6))
+    for w, b in marks.collect():  # at most BITMAP_LONGS rows
+        words[w] = b
+    return common.literal(words, "array<bigint>"), 64 - bits
 
 
-def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """Of items whose shingles have width words: (doc_id, item_id, start, similarity), the best window of each document and item."""
-    own = items.withColumn("shingles", shingles(F.col("words"), width)).select("item_id", F.size("words").alias("n"), "shingles", fingerprint(F.col("shingles")).alias("item_fp"))
-    first = own.select("item_id", "n", F.size("shingles").alias("m"), F.posexplode("shingles").alias("at", "h")).groupBy("item_id", "n", "m", "h").agg(F.min("at").alias("at"))
-    small = first.count() <= BROADCAST_SHINGLES
-    hint = F.broadcast if small else lambda x: x
+def _intervals(x: Column, sizes: Column) -> Column:
+    """array<struct<m, span, lo, hi>>: for each item size m all starts of windows that hold enough of the rising places x.hits of x.size places, as
+    intervals that don't overlap.
 
-    # a window similar enough shares s / (1 + s) of its and the item's shingles together: it holds so many shared places,
-    # in whatever order, and every window that does is looked at
+    A window of span places that is similar enough shares SIMILARITY / (1 + SIMILARITY) of its and the item's shingles together, so it holds so many
+    marked places, in whatever order. need places in a row, the last one less than span after the first, are in the windows
+    that start from last - span + 1 to first; both ends rise.
+    """
     share = SIMILARITY / (1 + SIMILARITY)
-    hashed = docs.select("doc_id", "key", shingles(F.col("words"), width).alias("shingles"))
-    met = hashed.select("doc_id", "key", F.size("shingles").alias("size"), F.posexplode("shingles").alias("pos", "h")).join(hint(first), "h")
-    starts = met.groupBy("doc_id", "key", "size", "item_id", "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    starts = starts.withColumn("span", F.least("m", "size")).withColumn("need", F.ceil(share * (F.col("m") + F.col("span")) - 1e-9).cast("int"))
-    starts = starts.where(F.size("at") >= F.col("need")).withColumn("starts", _starts(F.struct("at", "need", "span", "size")))
-    starts = starts.where(F.size("starts") > 0).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n", F.explode("starts").alias("start")).distinct()
-
-    paired = hashed.join(starts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    span = F.least(F.col("n") - (width - 1), F.size("shingles"))
-    # few bytes but much work: partitions by number are not merged
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = paired.select("doc_id", "key", "n", "start", F.slice("shingles", F.col("start") + 1, span).alias("window"))
-    windows = windows.repartition(parts, "doc_id", "key", "n", "start").distinct()
-    windows = windows.withColumn("fp", fingerprint(F.col("window")))
-
-    bits = 64 // BLOCKS
-    places = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    block = lambda fp: common.let(fp, lambda v: F.transform(places, lambda b: F.struct(b.alias("block"), _nibble(v, b * bits, bits).alias("value"))))
-    left = windows.select("*", F.inline(block(F.col("fp"))))
-    right = own.select("item_id", F.col("n").alias("size"), F.col("shingles").alias("item"), "item_fp", F.inline(block(F.col("item_fp"))).alias("item_block", "item_value"))
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    # of several agreeing blocks only the first counts, so that a pair is met once
-    marks = F.lit(0x1111111111111111).cast("long")
-    some = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftrightunsigned(differ, k) for k in range(1, bits)], differ)
-    equal = F.bitwise_not(some).bitwiseAND(marks)
-    lowest = equal.bitwiseAND(F.bitwise_not(equal) + 1)
-    is_first = lowest == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block") * bits)
-    near = (F.col("n") == F.col("size")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & (F.bit_count(differ) <= RADIUS) & is_first
-    scored = left.join(hint(right), near).withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
-    best = scored.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
-    return best.select("doc_id", "key", "item_id", "x.start", "x.similarity")
 
+    def of_size(m: Column) -> Column:
+        span = F.least(m, x.size)
+        given = F.struct(x.hits.alias("hits"), x.size.alias("size"), m.alias("m"), span.alias("span"), F.ceil(share * (m + span) - 1e-9).cast("int").alias("need"))
+        return common.let(given, found)
+
+    def found(y: Column) -> Column:
+        first = lambda i: F.get(y.hits, i)
+        last = lambda i: F.get(y.hits, i + y.need - 1)
+        rows = F.filter(F.sequence(F.lit(0), F.size(y.hits) - y.need), lambda i: last(i) - first(i) < y.span)
+        low = lambda i: F.greatest(F.lit(0), last(i) - y.span + 1)
+        high = lambda i: F.least(first(i), y["size"] - y.span)
+        one = lambda z, i, k: F.struct(
+            y.m.alias("m"), y.span.alias("span"), F.greatest(low(i), F.when(k > 0, high(F.get(z.rows, k - 1)) + 1).otherwise(0)).alias("lo"), high(i).alias("hi")
+        )
+        apart = common.let(F.struct(rows.alias("rows")), lambda z: F.transform(z.rows, lambda i, k: one(z, i, k)))
+        return F.when(F.size(y.hits) >= y.need, F.filter(apart, lambda r: r.lo <= r.hi)).otherwise(F.array().cast("array<struct<m:int,span:int,lo:int,hi:int>>"))
+
+    # neighbouring intervals are cut at STARTS, and each piece has its own hashes
+    return F.flatten(F.transform(sizes, of_size))
+
+
+def _joined(intervals: Column) -> Column:
+    """Intervals that touch as one, in time that grows with their number: only the first and the last of a chain are kept."""
+
+    def chained(x: Column) -> Column:
+        same = lambda a, b: F.coalesce((a.m == b.m) & (a.hi + 1 == b.lo), F.lit(False))
+        heads = F.filter(x.all, lambda r, k: ~same(F.get(x.all, k - 1), r))
+        tails = F.filter(x.all, lambda r, k: ~same(r, F.get(x.all, k + 1)))
+        return F.zip_with(heads, tails, lambda a, b: F.struct(a.m.alias("m"), a.span.alias("span"), a.lo.alias("lo"), b.hi.alias("hi")))
 
-def _nibble(fp: Column, at: Column, bits: int) -> Column:
-    return F.call_function("shiftrightunsigned", fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return common.let(F.struct(intervals.alias("all")), chained)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def regions(words: Column, width: int, bitmap: Column, shift: int, sizes: list[int]) -> Column:
+    """array<struct<m, span, lo, hashes>>: the windows of a text to fingerprint, for each item size m: those of span hashes that start at the places of
+    hashes, the first one at lo of the text. Null for a text without."""
+    share = SIMILARITY / (1 + SIMILARITY)
+    by_size = common.literal(sizes, "array<int>")
+
+    def marked(h: Column) -> Column:
+        place = F.shiftrightunsigned(h, shift)
+        word = F.get(bitmap, F.shiftrightunsigned(place, 6).cast("int"))
+        return F.bit_get(word, place.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    def hit(h: Column) -> Column:
+        return F.struct(h.alias("h"), F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: marked(F.get(h, i))).alias("hits"), F.size(h).alias("size"))
+
+    def cut(x: Column) -> Column:
+        def pieces(r: Column) -> Column:
+            heads = F.sequence(r.lo, r.hi, F.lit(STARTS))
+            return F.transform(heads, lambda lo: F.struct(r.m.alias("m"), r.span.alias("span"), lo.alias("lo"), F.slice(x.h, lo + 1, F.least(lo + STARTS - 1, r.hi) - lo + r.span).alias("hashes")))
+
+        found = F.flatten(F.transform(_joined(_intervals(x, by_size)), pieces))
+        need = F.ceil(share * (min(sizes) + F.least(F.lit(min(sizes)), x["size"])) - 1e-9)
+        return F.when(F.size(x.hits) >= need, F.nullif(found, F.array().cast("array<struct<m:int,span:int,lo:int,hashes:array<bigint>>>")))
+
+    # a text with fewer places than the smallest item needs has no window
+    least = math.ceil(share * min(sizes) - 1e-9)
+    return common.let(shingles(words, width), lambda h: F.when(F.size(h) >= F.lit(max(1, min(least, 1))), common.let(hit(h), cut)))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, width, m, item, fp) of each distinct item with words."""
+    words = common.word_array(common.lower_az(F.col("text").cast("string")))
+    items = benchmark.select("item_id", words.alias("words")).where(F.size("words") > 0).distinct().withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+    hashed = reduce(lambda other, w: F.when(F.col("width") == w, shingles(F.col("words"), w)).otherwise(other), range(1, WIDTH), shingles(F.col("words"), WIDTH))
+    items = items.select("item_id", "width", hashed.alias("item")).select("item_id", "width", F.size("item").alias("m"), "item", fingerprint(F.col("item")).alias("fp"))
+    return common.materialise(items, "benchmark-items")
+
+
+def _classes(items: DataFrame) -> list[tuple[int, list[int]]]:
+    """Widths of shingles, WIDTH at most, and the item sizes of each: figures of the benchmark's lengths, no texts."""
+    return [(w, sorted(m)) for w, m in sorted(map(tuple, items.groupBy("width").agg(F.collect_set("m")).collect()))]
+
+
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("key"), common.word_array(common.lower_az(text)).alias("words"))
+    return F.xxhash64(text), common.word_array(common.lower_az(text))
+
+
+def _with_regions(docs: DataFrame, items: DataFrame, classes: list[tuple[int, list[int]]]) -> DataFrame:
+    """docs and __key, a hash of the text, __words_<width> dropped again, and __r<width>: the regions of each class."""
+    key, words = _keyed(docs)
+    out = docs.withColumn("__key", key)
+    made = []
+    for w, sizes in classes:
+        bitmap, shift = _bitmap(items.where(F.col("width") == w))
+        made.append(regions(words, w, bitmap, shift, sizes).alias(f"__r{w}"))
+    return out.select("*", *made)
+
+
+def _matched(regional: DataFrame, items: DataFrame, width: int, sizes: list[int]) -> DataFrame:
+    """(doc_id, key, item_id, start, similarity): the best window of each document and item of one class, from rows (doc_id, __key, __r<width>)."""
+    own = items.where(F.col("width") == width).select("item_id", "m", "item", "fp")
+    prints = own.groupBy("fp", "m").agg(F.min(F.xxhash64("item")).alias("item"))  # many items of one fingerprint are one entry
+    entries = prints.count() * sum(len(_masks(w, most)) for _, w, most in _places())
+    hint = F.broadcast if entries <= BROADCAST_ROWS else lambda x: x
+
+    rows = regional.select("doc_id", F.col("__key").alias("key"), F.explode(f"__r{width}").alias("r")).select("doc_id", "key", "r.*")
+    # few bytes but much work: dealt out anew, and partitions by number are not merged
+    parts = int(regional.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "m", "lo")
+    windows = rows.select("*", F.posexplode(slid(F.col("hashes"), F.col("span"), max(sizes))).alias("at", "wfp"))
+    keyed = windows.select("*", F.explode(window_keys(F.col("wfp"), F.col("m"))).alias("wkey"))
+    index = index_rows(prints)
+    near = keyed.join(hint(index), keyed["wkey"] == index["key"]).where((F.bit_count(F.col("wfp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & _met_first(F.col("wfp"), F.col("item_fp"), F.col("wkey")))
+    near = near.select("doc_id", keyed["key"], "m", "item_fp", (F.col("lo") + F.col("at")).alias("start"), F.slice("hashes", F.col("at") + 1, F.col("span")).alias("window"))
+    small = own.count() <= BROADCAST_ROWS >> 8 and max(sizes) <= 1 << 10
+    full = own.select("item_id", F.col("m").alias("m_"), F.col("fp").alias("fp_"), "item")
+    pairs = near.join(F.broadcast(full) if small else full, (F.col("m") == F.col("m_")) & (F.col("item_fp") == F.col("fp_")))
+    scored = pairs.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
+    best = scored.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
+    return best.select("doc_id", "key", "item_id", "x.start", "x.similarity")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select("item_id", common.word_array(common.lower_az(F.col("text").cast("string"))).alias("words")).where(F.size("words") > 0).distinct()
-    items = common.materialise(items, "benchmark-items")
-    widths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WIDTH))).distinct().collect())
-    prepared = _prepared(docs)
-    parts = [_matches(prepared, items.where(F.least(F.size("words"), F.lit(WIDTH)) == w), w) for w in widths]
-    none = prepared.crossJoin(items.select("item_id").limit(0)).select("doc_id", "key", "item_id", F.lit(0).alias("start"), F.lit(0.0).alias("similarity")) if not parts else None
-    return none if none is not None else reduce(DataFrame.unionByName, parts)
+def _found(regional: DataFrame, items: DataFrame, classes: list[tuple[int, list[int]]]) -> DataFrame:
+    parts = [_matched(regional, items, w, sizes) for w, sizes in classes]
+    if not parts:
+        kind = items.schema["item_id"].dataType
+        return regional.limit(0).select("doc_id", F.col("__key").alias("key"), F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, similarity) of docs (doc_id, text) and benchmark (item_id, text): each document and item of which some window of the document, as
     many words long as the item, has a weighted shingle similarity of SIMILARITY or more with it; start is the word at which the best such window begins, the first of equal ones.
 
-    Words are lower-cased (A-Z); shingles are WIDTH words, or all words of a shorter item. A document shorter than an item is one window. A window is looked at
-    only if it has as many of the item's shingles, in any order, as that similarity needs; its fingerprint is then looked up in the multi-index
-    blocks of items of its size, and pairs within RADIUS bits are compared exactly. A pair that is similar enough but differs in more bits is
-    not found: at a similarity of 0.8 about ten bits are to be expected.
+    Words are lower-cased (A-Z); shingles are WIDTH words, or all words of a shorter item. A document shorter than an item is one window. One pass over the documents
+    marks the shingles that any item has and keeps, for each item size, the windows with as many marks as that similarity needs; this loses none, and
+    no other text leaves the pass. Every such window, in whatever order its words stand, is fingerprinted as it slides, and the multi-index finds all item
+    fingerprints of its size within RADIUS bits: of BLOCKS blocks one then differs in few bits, and the index holds all such values, so that a lookup is
+    an equality of sixteen bits. What it finds is compared exactly. A pair that is similar enough but differs in more bits is not found: at a similarity of 0.8 about ten
+    bits of 64 are to be expected, with a standard deviation below three.
 
     Nulls: a null text has no words and no window; a null item text, or one without words, is no item; a null doc_id or item_id stays null.
-    Repeated rows of docs give a row once for each doc_id and text. Empty tables give an empty result. Other columns are ignored.
+    Repeated rows of docs give a row once for each doc_id and text. Empty tables give an empty result. Other columns are ignored. Very long
+    texts and items: counts of bits don't overflow, a region is cut into rows of STARTS windows, and all steps but the sliding of a window
+    (the root of its length) are linear.
     """
-    return _found(docs, benchmark).select("doc_id", "item_id", "start", "similarity")
+    items = _items(benchmark)
+    classes = _classes(items)
+    return _found(_with_regions(docs.select("doc_id", "text"), items, classes).drop("text"), items, classes).select("doc_id", "item_id", "start", "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, in which contaminations() finds no item."""
-    bad = _found(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, (key == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """The rows of docs, all columns, in which contaminations() finds no item. Rows without a marked window are written once and never shuffled."""
+    items = _items(benchmark)
+    classes = _classes(items)
+    staged = common.materialise(_with_regions(docs, items, classes), "decontamination")
+    marks = [F.col(f"__r{w}").isNotNull() for w, _ in classes]
+    marked = reduce(lambda a, b: a | b, marks, F.lit(False))
+    suspects = staged.where(marked)
+    bad = _found(suspects, items, classes).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
+    cleared = suspects.join(bad, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    return staged.where(~marked).select(*docs.columns).union(cleared.select(*docs.columns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,12 +157,84 @@ def test_op6_items_in_another_order(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
 
 
+def test_op6_recall_against_brute_force(spark):
+    """Random edits, moved parts and truncations about the threshold: nearly all similar pairs are found, and no other."""
+    rng = random.Random(23)
+    items = [(k, sentence(rng, rng.randint(15, 90), "abcdefghijklmnop")) for k in range(40)]
+    docs = []
+    for k in range(400):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = [f"new{rng.randint(0, 9)}"] * rng.randint(0, 1)
+        if k % 5 == 1:
+            at = rng.randrange(len(w))
+            w = w[at:] + w[:at]
+        if k % 5 == 2:
+            w = w[: len(w) * rng.randint(80, 100) // 100]
+        if k % 5 == 3:
+            w = [x.upper() for x in w]
+        docs.append((k, f"{sentence(rng, rng.choice((0, 40)))} {' '.join(w)} {sentence(rng, rng.choice((0, 40)))}"))
+    found = decontamination.contaminations(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {(r.doc_id, r.item_id): r.similarity for r in found}, brute_similarities(docs, items)
+    assert len(want) > 150 and got.keys() <= want.keys()
+    assert all(got[k] <= want[k] + 1e-12 for k in got)
+    assert len(got) >= 0.99 * len(want) and sum(got[k] > want[k] - 1e-12 for k in got) >= 0.99 * len(got)
+
+
+def test_op6_very_long_items(spark):
+    """Counts of bits don't overflow, and a region longer than a row holds is found at its seams."""
+    rng = random.Random(24)
+    long = [f"w{rng.randrange(1 << 30)}" for _ in range(70000)]
+    items = [(1, " ".join(long)), (2, " ".join(["same"] * 40000)), (3, "x x x x x x x")]
+    docs = [(1, " ".join(long[:69990])), (2, " ".join(["same"] * 40003)), (3, "y " + "x " * 5000 + "y"), (4, " ".join(long[:30000]))]
+    found = decontamination.contaminations(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.start, round(r.similarity, 6)) for r in found} == {(1, 1): (0, round(69986 / 69996, 6)), (2, 2): (0, 1.0), (3, 3): (1, 1.0)}
+
+
+@pytest.mark.parametrize("span", [1, 2, 7, 56])
+def test_op6_sliding_fingerprints(spark, span):
+    rng = np.random.default_rng(3)
+    h = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 100)]
+    df = spark.createDataFrame([(h,)], "h array<bigint>")
+    for most in (1 << 10, 1 << 20):
+        (got,) = df.select(decontamination.slid(F.col("h"), F.lit(span), most)).first()
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[k : k + span]) > span) for k in range(100 - span + 1)]
+        assert [x % (1 << 64) for x in got] == want
+
+
+def test_op6_index_finds_all_within_the_radius(spark):
+    rng = random.Random(25)
+    items = [rng.getrandbits(64) for _ in range(20)]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    pairs = []
+    for n in range(600):
+        x = rng.choice(items)
+        for b in rng.sample(range(64), rng.choice((0, 3, 15, 18, 19, 20, 25))):
+            x ^= 1 << b
+        pairs.append((n, signed(x)))
+    index = decontamination.index_rows(spark.createDataFrame([(signed(x), 10, k) for k, x in enumerate(items)], "fp long, m int, item long"))
+    windows = spark.createDataFrame(pairs, "n int, fp long").select("n", "fp", F.explode(decontamination.window_keys(F.col("fp"), F.lit(10))).alias("k"))
+    near = windows.join(index, F.col("k") == F.col("key")).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= 19) & decontamination._met_first(F.col("fp"), F.col("item_fp"), F.col("k")))
+    got = sorted((r.n, r.item) for r in near.collect())
+    assert got == sorted((n, k) for n, x in pairs for k, y in enumerate(items) if ((x ^ y) % (1 << 64)).bit_count() <= 19)
+
+
+def test_op6_moves_no_shingles_of_clean_documents(spark, sf_dir):
+    docs, benchmark = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    kept = decontamination.decontaminate(docs, benchmark)
+    union = kept._jdf.queryExecution().optimizedPlan()
+    assert union.nodeName() == "Union"
+    unmarked = union.children().head().toString()
+    assert "Join" not in unmarked and "Repartition" not in unmarked and "Aggregate" not in unmarked
+
+
 def test_op6_shuffles_a_large_benchmark_alike(spark, leaks, monkeypatch):
     docs, items = leaks
     benchmark = spark.createDataFrame(items[:5], "item_id long, text string")
     rows = lambda: sorted(tuple(r) for r in decontamination.contaminations(documents(spark, docs), benchmark).collect())
     small = rows()
-    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     assert rows() == small and small
 
 
