@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -41,69 +39,64 @@ def _long(x: int) -> Column:
 
 
 def _lanes(most: int) -> int:
-    """Bits of a lane that counts up to most; the topmost lane of a long stays below its sign."""
-    return 16 if most < 1 << 15 else 32
+    """Bits of a lane that counts up to most, with room for twice that below the sign of the topmost lane."""
+    return 16 if most < 1 << 14 else 32
 
 
 def _spread(lane: int) -> Column:
     return _long(sum(1 << (lane * q) for q in range(64 // lane)))
 
 
+def _bits_at(h: Column, j: int, lane: int) -> Column:
+    return F.shiftrightunsigned(h, j).bitwiseAND(_spread(lane))
+
+
 def _tally(hashes: Column, lane: int) -> Column:
     """How often each bit is set among hashes: lane longs, each with 64 / lane counts; the first counts bits 0, lane, 2 * lane ..."""
     zero = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(lane)])
-
-    def count(state: Column, h: Column) -> Column:
-        return F.struct(*[(state[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(_spread(lane))).alias(f"c{j}") for j in range(lane)])
-
-    return F.aggregate(hashes, zero, count)
+    return F.aggregate(hashes, zero, lambda t, h: F.struct(*[(t[f"c{j}"] + _bits_at(h, j, lane)).alias(f"c{j}") for j in range(lane)]))
 
 
-def _majority(tally: Column, n: Column, lane: int) -> Column:
-    """The bits set in over half of n hashes."""
-    mask = _long((1 << lane) - 1)
+def _half(n: Column, lane: int) -> Column:
+    """What lifts just the counts of over half of n to the bit below the lane's topmost."""
+    return ((F.lit((1 << (lane - 2)) - 1).cast("long") - F.floor(n / 2)) * _spread(lane)).cast("long")
 
-    def one(j: int, q: int) -> Column:
-        return F.when(F.shiftrightunsigned(tally[f"c{j}"], lane * q).bitwiseAND(mask) * 2 > n, _long(1 << (lane * q + j))).otherwise(_long(0))
 
-    return reduce(lambda a, b: a.bitwiseOR(b), [one(j, q) for j in range(lane) for q in range(64 // lane)])
+def _majority(tally: Column, half: Column, lane: int) -> Column:
+    """The bits set in over half of the hashes that were counted."""
+    ones = [F.shiftrightunsigned(tally[f"c{j}"] + half, lane - 2).bitwiseAND(_spread(lane)) for j in range(lane)]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(one, j) for j, one in enumerate(ones)])
 
 
-def fingerprint(hashes: Column, most: int = (1 << 31) - 1) -> Column:
+def fingerprint(hashes: Column, most: int = (1 << 30) - 1) -> Column:
     """SimHash of most hashes or fewer: a bit is 1 if it is set in over half of them, repeats included."""
     lane = _lanes(most)
-    return common.let(hashes, lambda h: common.let(F.struct(_tally(h, lane).alias("t"), F.size(h).alias("n")), lambda x: _majority(x.t, x.n, lane)))
+    return common.let(hashes, lambda h: common.let(F.struct(_tally(h, lane).alias("t"), _half(F.size(h), lane).alias("half")), lambda x: _majority(x.t, x.half, lane)))
 
 
 def slid(hashes: Column, span: Column, most: int) -> Column:
-    """Fingerprints of all windows of span hashes, by start. Blocks of about the root of span hashes are tallied once, a window then adds whole
-    blocks and the hashes at its ends. most: no span is longer."""
+    """Fingerprints of all windows of span hashes, by start. Counts slide: what leaves a window is taken off and what enters it is added. They begin anew
+    every so many windows, about the root of a long span, as arrays grow by copying. most: no span is longer."""
     lane = _lanes(most)
-    names = [f"c{j}" for j in range(lane)]
-    plus = lambda a, b: F.struct(*[(a[c] + b[c]).alias(c) for c in names])
 
-    def blocked(x: Column) -> Column:
-        number = F.floor(F.size(x.h) / x.step).cast("int")
-        blocks = F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), lambda b: _tally(F.slice(x.h, b * x.step + 1, x.step), lane)))
-        return F.struct(x.h.alias("h"), x.span.alias("span"), x.step.alias("step"), blocks.alias("blocks"))
+    def prepared(x: Column) -> Column:
+        return F.struct(x.h.alias("h"), x.span.alias("span"), _half(x.span, lane).alias("half"), F.greatest(F.lit(64), F.ceil(2 * F.sqrt(x.span.cast("double")))).cast("int").alias("step"))
 
     def windows(x: Column) -> Column:
-        def one(i: Column) -> Column:
-            first = F.ceil(i / x.step).cast("int")
-            last = F.floor((i + x.span) / x.step).cast("int")
-            before = F.slice(x.h, i + 1, first * x.step - i)
-            after = F.slice(x.h, last * x.step + 1, i + x.span - last * x.step)
-            ends = _tally(F.concat(before, after), lane)
-            inside = F.aggregate(F.slice(x.blocks, first + 1, last - first), ends, plus)
-            return _majority_of(F.when(last > first, inside).otherwise(_tally(F.slice(x.h, i + 1, x.span), lane)), x.span)
+        def chunk(head: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                gone, come = F.get(x.h, i - 1), F.get(x.h, i + x.span - 1)
+                tally = F.struct(*[(s.t[f"c{j}"] - _bits_at(gone, j, lane) + _bits_at(come, j, lane)).alias(f"c{j}") for j in range(lane)])
+                return F.struct(tally.alias("t"), F.concat(s.out, F.array(_majority(s.t, x.half, lane))).alias("out"))
 
-        return F.transform(F.sequence(F.lit(0), F.size(x.h) - x.span), one)
+            # the state's counts are those of the window before i: one more step than windows writes the last of them
+            start = F.struct(_tally(F.slice(x.h, head + 1, x.span), lane).alias("t"), F.array().cast("array<bigint>").alias("out"))
+            last = F.least(head + x.step, F.size(x.h) - x.span + 1)
+            return F.aggregate(F.sequence(head + 1, last), start, one, lambda s: s.out)
 
-    def _majority_of(tally: Column, n: Column) -> Column:
-        return common.let(F.struct(tally.alias("t"), n.alias("n")), lambda y: _majority(y.t, y.n, lane))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x.h) - x.span, x.step), chunk))
 
-    step = F.greatest(F.lit(2), F.ceil(F.sqrt(span.cast("double")) * 0.8)).cast("int")
-    return common.let(common.let(F.struct(hashes.alias("h"), span.alias("span"), step.alias("step")), blocked), windows)
+    return common.let(common.let(F.struct(hashes.alias("h"), span.alias("span")), prepared), windows)
 
 
 # ---- the index -------------------------------------------------------------------------------------------------------
@@ -131,12 +124,12 @@ def window_keys(fp: Column, size: Column) -> Column:
 
 
 def index_rows(items: DataFrame) -> DataFrame:
-    """(key, fp, m, item): of each fingerprint of items (fp, m, item) one row for each value near enough to one of its blocks: a lookup is an equality."""
+    """(key, item_fp): of each fingerprint of items (fp, m) one row for each value near enough to one of its blocks: a lookup is an equality."""
     rows = []
     for b, (_, width, most) in enumerate(_places()):
         masks = common.literal(_masks(width, most), "array<bigint>")
-        rows.append(items.select("fp", "m", "item", F.explode(masks).alias("x"), _block_key(F.col("fp"), F.col("m"), b).alias("k")))
-    return reduce(DataFrame.unionByName, rows).select(F.col("k").bitwiseXOR(F.col("x")).alias("key"), F.col("fp").alias("item_fp"), "item")
+        rows.append(items.select("fp", F.explode(masks).alias("x"), _block_key(F.col("fp"), F.col("m"), b).alias("k")))
+    return reduce(DataFrame.unionByName, rows).select(F.col("k").bitwiseXOR(F.col("x")).alias("key"), F.col("fp").alias("item_fp"))
 
 
 def _met_first(fp: Column, item_fp: Column, key: Column) -> Column:
@@ -212,7 +205,6 @@ def _intervals(x: Column, sizes: Column) -> Column:
         apart = common.let(F.struct(rows.alias("rows")), lambda z: F.transform(z.rows, lambda i, k: one(z, i, k)))
         return F.when(F.size(y.hits) >= y.need, F.filter(apart, lambda r: r.lo <= r.hi)).otherwise(F.array().cast("array<struct<m:int,span:int,lo:int,hi:int>>"))
 
-    # neighbouring intervals are cut at STARTS, and each piece has its own hashes
     return F.flatten(F.transform(sizes, of_size))
 
 
@@ -251,9 +243,7 @@ def regions(words: Column, width: int, bitmap: Column, shift: int, sizes: list[i
         need = F.ceil(share * (min(sizes) + F.least(F.lit(min(sizes)), x["size"])) - 1e-9)
         return F.when(F.size(x.hits) >= need, F.nullif(found, F.array().cast("array<struct<m:int,span:int,lo:int,hashes:array<bigint>>>")))
 
-    # a text with fewer places than the smallest item needs has no window
-    least = math.ceil(share * min(sizes) - 1e-9)
-    return common.let(shingles(words, width), lambda h: F.when(F.size(h) >= F.lit(max(1, min(least, 1))), common.let(hit(h), cut)))
+    return common.let(shingles(words, width), lambda h: F.when(F.size(h) > 0, common.let(hit(h), cut)))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -276,7 +266,7 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _with_regions(docs: DataFrame, items: DataFrame, classes: list[tuple[int, list[int]]]) -> DataFrame:
-    """docs and __key, a hash of the text, __words_<width> dropped again, and __r<width>: the regions of each class."""
+    """docs __key, a hash of the text, and __r<width>: the regions of each class."""
     key, words = _keyed(docs)
     out = docs.withColumn("__key", key)
     made = []
@@ -289,7 +279,7 @@ def _with_regions(docs: DataFrame, items: DataFrame, classes: list[tuple[int, li
 def _matched(regional: DataFrame, items: DataFrame, width: int, sizes: list[int]) -> DataFrame:
     """(doc_id, key, item_id, start, similarity): the best window of each document and item of one class, from rows (doc_id, __key, __r<width>)."""
     own = items.where(F.col("width") == width).select("item_id", "m", "item", "fp")
-    prints = own.groupBy("fp", "m").agg(F.min(F.xxhash64("item")).alias("item"))  # many items of one fingerprint are one entry
+    prints = own.select("fp", "m").distinct()  # many items of one fingerprint are one entry
     entries = prints.count() * sum(len(_masks(w, most)) for _, w, most in _places())
     hint = F.broadcast if entries <= BROADCAST_ROWS else lambda x: x
 
@@ -332,7 +322,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Nulls: a null text has no words and no window; a null item text, or one without words, is no item; a null doc_id or item_id stays null.
     Repeated rows of docs give a row once for each doc_id and text. Empty tables give an empty result. Other columns are ignored. Very long
     texts and items: counts of bits don't overflow, a region is cut into rows of STARTS windows, and all steps but the sliding of a window
-    (the root of its length) are linear.
+    (the root of its length, for windows of thousands of words) are linear.
     """
     items = _items(benchmark)
     classes = _classes(items)

@@ -213,11 +213,11 @@ def test_op6_index_finds_all_within_the_radius(spark):
         for b in rng.sample(range(64), rng.choice((0, 3, 15, 18, 19, 20, 25))):
             x ^= 1 << b
         pairs.append((n, signed(x)))
-    index = decontamination.index_rows(spark.createDataFrame([(signed(x), 10, k) for k, x in enumerate(items)], "fp long, m int, item long"))
+    index = decontamination.index_rows(spark.createDataFrame([(signed(x), 10) for x in items], "fp long, m int"))
     windows = spark.createDataFrame(pairs, "n int, fp long").select("n", "fp", F.explode(decontamination.window_keys(F.col("fp"), F.lit(10))).alias("k"))
     near = windows.join(index, F.col("k") == F.col("key")).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= 19) & decontamination._met_first(F.col("fp"), F.col("item_fp"), F.col("k")))
-    got = sorted((r.n, r.item) for r in near.collect())
-    assert got == sorted((n, k) for n, x in pairs for k, y in enumerate(items) if ((x ^ y) % (1 << 64)).bit_count() <= 19)
+    got = sorted((r.n, r.item_fp % (1 << 64)) for r in near.collect())
+    assert got == sorted((n, y) for n, x in pairs for y in items if ((x ^ y) % (1 << 64)).bit_count() <= 19)
 
 
 def test_op6_moves_no_shingles_of_clean_documents(spark, sf_dir):
