@@ -12,26 +12,100 @@ from quernstone.llm import common, language_id, mixing, quality_classifier, topk
 from .fixture import documents, empty, texts
 
 
+SAMPLES = {
+    "en": ["The cat sat on the mat; the cat ran", "this and that", "the then there these those"],
+    "fr": ["le chat est là", "où est-il, le chat noir", "les chats sont là-bas"],
+    "el": ["η γάτα κάθισε στο χαλί", "αυτό και εκείνο"],
+    "zh": ["猫坐在垫子上", "这个和那个,猫"],
+}
+
+
+def brute_code(texts, text, kept):
+    """PPM by its definition, one byte at a time: method C, exclusion, contexts of up to three bytes out of kept."""
+    lower = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+    counts = {}
+    for t in texts:
+        past = b"\n\n\n"
+        for b in lower(t):
+            for k in range(4):
+                counts.setdefault(past[3 - k :], {}).setdefault(b, 0)
+                counts[past[3 - k :]][b] += 1
+            past = past[1:] + bytes([b])
+    memo = {}
+
+    def p(context):
+        if context is None:
+            return [1 / 256] * 256
+        if context not in memo:
+            below = p(context[1:] if context else None)
+            seen = counts.get(context, {}) if context in kept else {}
+            if not seen:
+                memo[context] = below
+            else:
+                total, kinds = sum(seen.values()), len(seen) if len(seen) < 256 else 0
+                rest = sum(q for b, q in enumerate(below) if b not in seen)
+                memo[context] = [seen[b] / (total + kinds) if b in seen else kinds / (total + kinds) * below[b] / rest for b in range(256)]
+        return memo[context]
+
+    bits, past = 0.0, b"\n\n\n"
+    for b in lower(text):
+        bits -= math.log2(p(past)[b])
+        past = past[1:] + bytes([b])
+    return bits
+
+
+@pytest.mark.parametrize("price", [-1e9, 3.0])
+def test_op3_against_brute_force(monkeypatch, price):
+    monkeypatch.setattr(language_id, "PRICE", price)
+    m = language_id.fit({k: pa.array(v) for k, v in SAMPLES.items()})
+    kept = {int(c).to_bytes(k, "big") for k, held in enumerate(m.keys) for c in held}
+    asked = ["the cat", "le chat", "γάτα χαλί", "猫和垫子", "zzz \x01 ÿ", "", None, "THE MAT", "кот"]
+    got = language_id.code_lengths(m, pa.array(asked, pa.string()))
+    for x, language in enumerate(m.languages):
+        for y, text in enumerate(asked):
+            assert got[y, x] == pytest.approx(brute_code(SAMPLES[language], text, kept), rel=1e-6, abs=1e-6)
+
+
 def test_op3_codes_are_distributions():
-    sample = {"en": pa.array(["the cat sat on the mat", "this and that"]), "fr": pa.array(["le chat est là", "où est-il"])}
-    m = language_id.fit(sample)
-    nodes = len(m.bits) // language_id.CLASSES
-    p = np.exp2(-m.bits.astype(float)).reshape(nodes, language_id.CLASSES, len(m.languages))
-    p[:, language_id.CLASSES - 1] *= 256 - (language_id.CLASSES - 1)  # that class is so many bytes
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-
-
-def test_op3_order_two_by_hand():
-    """The code of a text is the sum of its symbols' code lengths after the longest contexts kept."""
-    sample = {"x": pa.array(["abab", "abc"])}
-    m = language_id.fit(sample)
-    got = language_id.code_lengths(m, pa.array(["ab", "", None]))
-    bits, past = 0.0, [10, 10, 10]
-    for byte in b"ab":
-        a, b, c = (int(m.classes[x]) for x in past)
-        bits += m.bits[m.node[a << 12 | b << 6 | c] * language_id.CLASSES + m.classes[byte], 0]
-        past = [*past[1:], byte]
-    assert got[0, 0] == pytest.approx(bits) and got[1, 0] == got[2, 0] == 0
+    m = language_id.fit({k: pa.array(v) for k, v in SAMPLES.items()})
+    every = pa.array([bytes([97, 98, b]).decode("latin-1") for b in range(128) if not 65 <= b <= 90])
+    before = language_id.code_lengths(m, pa.array(["ab"]))[0]
+    p = np.exp2(before - language_id.code_lengths(m, every)).sum(0)
+    assert (p <= 1 + 1e-4).all() and p[m.languages.index("en")] > 0.8  # bytes of 128 and more have the rest
+
+
+def test_op3_bounds_keep_the_best_contexts(monkeypatch):
+    """Fewer entries keep fewer contexts, never one without its suffix, single bytes always."""
+    sample = {k: pa.array(v) for k, v in SAMPLES.items()}
+    monkeypatch.setattr(language_id, "PRICE", -1.0)
+    sizes = []
+    for entries in (1, 1200, 1 << 24):
+        monkeypatch.setattr(language_id, "ENTRIES", entries)
+        m = language_id.fit(sample)
+        held = [set(x.tolist()) for x in m.keys]
+        assert all(c % 256 ** (k - 1) in held[k - 1] for k in (2, 3) for c in held[k])
+        sizes.append(sum(map(len, held)))
+    assert 20 < sizes[0] < sizes[1] < sizes[2]
+
+
+def test_op3_forty_languages_and_scripts():
+    """Languages that share words but for their endings, and four scripts: no switch at any number of them."""
+    rng = np.random.default_rng(8)
+    stems = ["".join(rng.choice(list("abcdefghilmnoprstu"), 4)) for _ in range(120)]
+    scripts = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "zh": "的一是不了在人有我他这个们中来上大", "ka": "აბგდევზთიკლმნოპჟრს"}
+    endings = {f"l{k:02d}": ["".join(rng.choice(list("aeioukstz"), 2)) for _ in range(5)] for k in range(40)}
+
+    def text(language):
+        if language in scripts:
+            return " ".join("".join(rng.choice(list(scripts[language]), 5)) for _ in range(30))
+        return " ".join(rng.choice(stems) + rng.choice(endings[language]) for _ in range(30))
+
+    languages = sorted([*endings, *scripts])
+    m = language_id.fit({x: pa.array([text(x) for _ in range(30)]) for x in languages})
+    assert len(m.keys[3]) > 100
+    asked = [x for x in languages for _ in range(5)]
+    best = language_id.code_lengths(m, pa.array([text(x) for x in asked])).argmin(1)
+    assert np.mean([m.languages[b] == x for b, x in zip(best, asked)]) >= 0.97
 
 
 def test_op3_held_out_accuracy(spark, sf_dir):
@@ -49,6 +123,9 @@ def test_op3_odd_rows(spark):
     assert all(0 < rows[k].score <= 1 and rows[k].lang_pred in ("en", "fr") for k in (4, 5, 7, 8, 9, 10))
     assert {r.lang_pred for r in language_id.identify(documents(spark), F.lit(False)).collect()} == {"und"}
     assert language_id.identify(empty(spark), F.lit(True)).count() == 0
+    again = {}
+    for r in out.collect():
+        assert again.setdefault(r.doc_id, r) == r or r.doc_id in (None, 11)  # repeated rows; ids 11 and null have two texts
 
 
 def test_op9_label_model_finds_accuracies():
