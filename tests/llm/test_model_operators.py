@@ -241,14 +241,48 @@ def test_op10_few_and_empty(spark):
     assert topk_search.top_k(df, F.lit(False)).count() == 0
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(1).normal(size=(1000, 5))
+def test_op10_a_cell_of_one_repeated_row(spark, monkeypatch):
+    """A cell whose rows all fall into one block that is not its first."""
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    rows = [(i, [0.5 + j]) for i in (3, 20, 40, 60) for j in range(1) for _ in range(40)] + [(1, [9.0]), (2, [-9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0).collect()) == brute(rows, 20)
 
-    def walk(node):
-        assert (np.sqrt(((x[node.points] - node.centre) ** 2).sum(1)) <= node.radius).all()
-        if node.children:
-            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
-        for c in node.children:
-            walk(c)
 
-    walk(topk_search.cover_tree(x))
+def test_cover_tree_covers():
+    x = np.random.default_rng(1).normal(size=(1000, 5))
+    t = topk_search.cover_tree(x)
+    assert sorted(t.points) == list(range(1000))
+    for i in range(len(t.radius)):
+        own = t.points[t.start[i] : t.end[i]]
+        assert (np.sqrt(((x[own] - t.centre[i]) ** 2).sum(1)) <= t.radius[i]).all()
+        if t.many[i]:
+            of = range(t.first[i], t.first[i] + t.many[i])
+            assert sorted(np.concatenate([t.points[t.start[c] : t.end[c]] for c in of])) == sorted(own)
+        else:
+            assert len(own) <= topk_search.LEAF
+
+
+def test_cover_tree_centres_are_apart():
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    chosen, nearest = topk_search.farthest_first(x, 40, within=0.5)
+    gap = np.sqrt(((x - x[chosen[nearest]]) ** 2).sum(1)).max()
+    apart = np.sqrt(((x[chosen][:, None] - x[chosen][None]) ** 2).sum(2))
+    assert apart[~np.eye(len(chosen), dtype=bool)].min() >= gap
+
+
+def test_op10_prunes_clusters_and_says_how_much(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    centres = 20 * rng.normal(size=(40, 16))
+    rows = [(k, [float(v) for v in centres[k % 40] + 0.2 * rng.normal(size=16)]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    taken: list[int] = []
+    got = sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0, products_taken=taken).collect())
+    assert got == brute(rows, 20)
+    assert 0 < taken[0] < 0.25 * 200 * 4000
+    # the driver's vectors are spread evenly over a sphere: nothing to prune, and never more products than pairs
+    table = common.table(spark, sf_dir, "embeddings")
+    n, queries = table.count(), table.where("vec_id % 20 = 0").count()
+    taken = []
+    topk_search.top_k(table, F.col("vec_id") % 20 == 0, products_taken=taken)
+    assert 0 < taken[0] <= n * queries
