@@ -15,7 +15,7 @@ from . import common
 #: Rows of a candidate block, of a query block and of a leaf, children of a node; cells of the top of the tree, and the sample that they are chosen from.
 BLOCK, QUERIES_A_BLOCK, LEAF, CHILDREN, CELLS, SAMPLE = 4096, 512, 16, 8, 1024, 8192
 #: Candidates that one product takes at a time.
-BATCH = 512
+BATCH = 1024
 #: Products below this are exact in double arithmetic.
 EXACT = 2.0**53
 
@@ -187,6 +187,9 @@ def search(q: Tree, q_ids: np.ndarray, c: Tree, c_ids: np.ndarray, best: Best, f
             if len(taken):
                 score = products(own, c.x[taken])
                 scored += score.size
+                if exact:  # what no query wants is left out before anything is sorted
+                    wanted = (score >= kth[:, None]).any(0)
+                    score, taken = score[:, wanted], taken[wanted]
                 same = q_ids[rows][:, None] == c_ids[taken][None, :]
                 best.merge(rows, np.where(same, -np.inf, score), np.where(same, np.iinfo(np.int64).max, c_ids[taken][None, :]))
     return scored
