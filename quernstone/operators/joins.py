@@ -35,15 +35,36 @@ def right_anti(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     return right.join(left, on, "left_anti")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: Sequence[str]) -> DataFrame:
-    """For each row of left the values of right's latest row with the same key and no later time; null if there is none. One sort of both
-    sides together: no pair of rows is formed. Of right's rows with equal key and time the largest values count."""
-    a = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast("struct<" + ",".join(f"{v}:{right.schema[v].dataType.simpleString()}" for v in values) + ">").alias("__v"))
-    b = right.select(key, time, F.lit(0).alias("__side"), F.struct(*values).alias("__v"))
-    order = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_last(), "__side", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def as_of(left: DataFrame, right: DataFrame, key: str | Sequence[str], time: str, values: Sequence[str], hot: bool = False) -> DataFrame:
+    """For each row of left the values of right's latest row with equal keys and no later time; null if there is none. One sort of both sides together: no
+    pair of rows is formed. Of right's rows with equal keys and time the largest values count. A null key or time matches nothing.
+
+    hot: keys of very many rows are spread: rows are dealt out by ranges of key and time, and each range is handed its keys' last values before it, a row
+    a range and key. Else all rows of a key are one task's."""
+    keys = [key] if isinstance(key, str) else list(key)
+    kind = ",".join(f"`{v}`:{right.schema[v].dataType.simpleString()}" for v in values)
+    sound = [F.col(c).isNotNull() for c in (*keys, time)]
+    known = sound[0]
+    for one in sound[1:]:
+        known = known & one
+    a = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(f"struct<{kind}>").alias("__v"))
+    b = right.where(known).select(*keys, time, F.lit(0).alias("__side"), F.struct(*values).alias("__v"))
     both = a.unionByName(b, allowMissingColumns=True)
-    seen = both.withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
-    return seen.select(*left.columns, *(F.col("__v")[v].alias(f"asof_{v}" if v in left.columns else v) for v in values))
+    order = [F.col(time).asc_nulls_last(), "__side", "__v"]
+    if not hot:
+        over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = both.withColumn("__v", F.last("__v", ignorenulls=True).over(over))
+    else:
+        parted = both.repartitionByRange(*keys, time, "__side").withColumn("__p", F.spark_partition_id())
+        over = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = parted.withColumn("__v", F.last("__v", ignorenulls=True).over(over))
+        ends = parted.where("__side = 0").groupBy("__p", *keys).agg(F.max_by("__v", F.struct(time, "__v")).alias("__last"))
+        places = parted.groupBy("__p", *keys).agg(F.lit(1).alias("__one")).join(ends, ["__p", *keys], "left")
+        before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        carried = places.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).select("__p", *keys, "__before")
+        seen = local.join(carried, ["__p", *keys], "left").withColumn("__v", F.coalesce("__v", "__before"))
+    seen = seen.where("__side = 1").withColumn("__v", F.when(known, F.col("__v")))
+    return seen.select(*[F.col(f"`{c}`") for c in left.columns], *(F.col("__v")[v].alias(f"asof_{v}" if v in left.columns else v) for v in values))
 
 
 def in_range(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
@@ -80,8 +101,31 @@ def counted(left: DataFrame, right: DataFrame, key: str, right_key: str, value:
     return joined.groupBy(group).agg(F.sum(F.col("__p") * many).cast("bigint").alias(name)) if group != key else joined.select(group, (F.col("__p") * many).cast("bigint").alias(name))
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys are spread: left's rows get one of salts numbers, right's rows all of them."""
-    a = left.withColumn("__s", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    b = right.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+def salted(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """An equi-join, inner or left, whose hot keys are spread: rows of left with a key that share of left's rows or more have get one of salts numbers, and
+    right's rows with such a key all of them. There are 1 / share hot keys at most; other rows are neither numbered nor repeated."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    hot = counts.where(F.col("__n") >= F.lit(max(1.0, share * left.count()))).select("__k")
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # at most 1 / share rows
+    zero = F.lit(0).cast("bigint")
+    a = left.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__s", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(zero)).drop("__k", "__hot")
+    last = F.when(F.col("__hot"), F.lit(salts - 1).cast("bigint")).otherwise(zero)
+    b = right.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__s", F.explode(F.sequence(zero, last))).drop("__k", "__hot")
     return a.join(b, [key, "__s"], how).drop("__s")
+
+
+def anti_where(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Rows of left for which no row of right makes any condition true, inequalities too."""
+    return left.join(right, on, "left_anti")
+
+
+def mark_where(left: DataFrame, right: DataFrame, a: str, op: str, b: str, name: str = "mark") -> DataFrame:
+    """All rows of left and a three-valued `a op ANY (SELECT b FROM right)` for an inequality op: only the least or the greatest b matters, so right is one row."""
+    if op not in ("<", "<=", ">", ">="):
+        raise ValueError("op must be an inequality")
+    best = F.max(b) if op.startswith("<") else F.min(b)
+    facts = right.agg(best.alias("__b"), F.count("*").alias("__n"), F.count_if(F.col(b).isNull()).alias("__nulls"))  # one row
+    joined = left.join(F.broadcast(facts), F.lit(True))
+    hit = F.coalesce(F.expr(f"`{a}` {op} __b"), F.lit(False))
+    value = F.when(F.col("__n") == 0, False).when(hit, True).when(F.col(a).isNull() | (F.col("__nulls") > 0), None).otherwise(False)
+    return joined.withColumn(name, value).select(*left.columns, name)

@@ -20,8 +20,13 @@ def top_n(df: DataFrame, n: int, *names: str, offset: int = 0) -> DataFrame:
 
 
 def limit_percent(df: DataFrame, percent: float, *names: str) -> DataFrame:
-    """LIMIT n%: of the counted rows, rounded down."""
-    return df.orderBy(*keys(*names)).limit(int(df.count() * percent / 100))
+    """LIMIT n%: of the counted rows, rounded down. Rows are numbered range by range, so that no task gathers the share; they come out in order."""
+    order = keys(*names)
+    parted = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    local = parted.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    counts = local.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    return local.join(F.broadcast(before.select("__p", "__b")), "__p").where(F.col("__i") + F.col("__b") <= int(df.count() * percent / 100)).orderBy(*order).select(*df.columns)
 
 
 def distinct_on(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
@@ -42,4 +47,5 @@ def sample(df: DataFrame, share: float, seed: int, by: Sequence[str] = ()) -> Da
     """TABLESAMPLE of a share of the rows. by: columns whose hash decides, so that the same rows are chosen wherever they lie."""
     if not by:
         return df.sample(share, seed)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 20)) < int(share * (1 << 20)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(share * (1 << 32)))

@@ -69,3 +69,28 @@ text("a20_statistics", """SELECT l_returnflag, round(stddev_samp(l_quantity), 6)
 text("a20_quantiles", "SELECT event_type, round(percentile(value, 0.25), 6) AS q1, round(percentile(value, 0.9), 6) AS q9 FROM events GROUP BY event_type",
      "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.9), 6) AS q9 FROM events GROUP BY event_type")
 text("a20_booleans", "SELECT p_type, bool_and(p_size > 0) AS a, bool_or(p_size > 49) AS o, CAST(count_if(p_size > 25) AS BIGINT) AS n, bit_and(p_size) AS b FROM part GROUP BY p_type")
+text("a08_first_value", "SELECT first(x) AS f, any_value(y) AS a FROM (SELECT 7 AS x, 'z' AS y FROM nation) t")
+text("a20_approximate_distinct", "SELECT abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM lineitem")
+text("a20_lists", "SELECT n_regionkey, array_join(sort_array(collect_list(n_nationkey)), ',') AS l, array_join(sort_array(collect_set(n_nationkey % 3)), ',') AS s FROM nation GROUP BY n_regionkey",
+     "SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS l, array_to_string(list_sort(list(DISTINCT n_nationkey % 3)), ',') AS s FROM nation GROUP BY n_regionkey")
+text("a20_mode", "SELECT mode(k) AS m FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'often' ELSE p_name END AS k FROM part) t")
+text("a20_discrete_quantile", "SELECT p_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY p_size) AS q FROM part GROUP BY p_type", "SELECT p_type, CAST(quantile_disc(p_size, 0.5) AS DOUBLE) AS q FROM part GROUP BY p_type")
+text("a20_shapes", "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS s FROM lineitem GROUP BY l_returnflag",
+     "SELECT l_returnflag, round(skewness(l_extendedprice) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 6) AS s FROM lineitem GROUP BY l_returnflag")
+text("a20_histogram", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY event_type, bin", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL")
+
+# tables with nulls in keys and measures, and types that reach beyond 64 bits
+NULLED = """(SELECT l_orderkey, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_partkey END AS pk, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey END AS sk,
+ CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS q, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(15,2)) END AS d FROM lineitem) AS t"""
+text("n01_null_groups", f"SELECT sk, count(*) AS n, count(q) AS c, round(sum(q), 2) AS s, round(avg(q), 6) AS a, min(q) AS lo, count(DISTINCT pk) AS p FROM {NULLED} GROUP BY sk")
+text("n02_null_keys_join", f"SELECT s_suppkey, count(pk) AS n FROM supplier LEFT JOIN {NULLED} ON sk = s_suppkey AND q > 10 GROUP BY s_suppkey")
+text("n03_null_filters", f"SELECT count(*) AS n FROM {NULLED} WHERE (q > 20 OR d IS NULL) AND NOT (sk < 50 AND q <= 30) AND coalesce(pk, 7) <> 7")
+text("n04_null_not_in", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT pk FROM {NULLED} WHERE q > 49 AND pk IS NOT NULL)")
+text("n05_null_not_in_null", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT pk FROM {NULLED})")
+text("n06_null_safe_self", f"SELECT count(*) AS n FROM (SELECT sk, count(*) AS n FROM {NULLED} GROUP BY sk) a JOIN (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT NULL) b ON a.sk IS NOT DISTINCT FROM b.k")
+text("n07_wide_decimals", f"SELECT pk % 10 AS k, CAST(sum(d * d) AS DECIMAL(38,4)) AS s, max(d) AS m FROM {NULLED} GROUP BY pk % 10")
+text("n08_large_integers", """SELECT k, CAST(sum(u) AS STRING) AS s, CAST(max(u) AS STRING) AS m FROM (SELECT o_orderkey % 3 AS k, CAST(18446744073709551615 AS DECIMAL(20,0)) - o_orderkey AS u FROM orders) t GROUP BY k""",
+     """SELECT k, CAST(sum(u) AS VARCHAR) AS s, CAST(max(u) AS VARCHAR) AS m FROM (SELECT o_orderkey % 3 AS k, CAST(18446744073709551615 AS DECIMAL(20,0)) - o_orderkey AS u FROM orders) t GROUP BY k""")
+text("n09_struct_keys", "SELECT k.a AS a, k.b AS b, count(*) AS n FROM (SELECT named_struct('a', n_regionkey, 'b', CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'odd' END) AS k FROM nation) t GROUP BY k",
+     "SELECT k.a AS a, k.b AS b, count(*) AS n FROM (SELECT {'a': n_regionkey, 'b': CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'odd' END} AS k FROM nation) t GROUP BY k")
+text("n10_windows_over_nulls", f"SELECT l_orderkey, count(q) OVER (PARTITION BY sk) AS c, rank() OVER (PARTITION BY l_orderkey ORDER BY q DESC NULLS LAST, d NULLS FIRST) * CAST(1 AS BIGINT) AS r FROM {NULLED}")

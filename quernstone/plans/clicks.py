@@ -1,4 +1,4 @@
-"""Shapes of web-analytics queries on events and pages: counts, distinct users, minutes, LIKE, top tens with tie-breaks."""
+"""Shapes of web-analytics queries (fixed values: a public benchmark's, on other columns) on events and pages: counts, distinct users, minutes, LIKE, top tens with tie-breaks."""
 
 from __future__ import annotations
 

@@ -67,17 +67,53 @@ text("j07_inequality", "SELECT n1.n_nationkey AS a, n2.n_nationkey AS b FROM nat
 for _kind in ("LEFT", "RIGHT", "FULL"):
     text(f"j07_inequality_{_kind.lower()}", f"SELECT id, k, rid, rk FROM {L} {_kind} JOIN {R} ON k > rk")
 text("j07_inequality_semi", f"SELECT id FROM {L} WHERE EXISTS (SELECT 1 FROM {R} WHERE rk > k)")
-text("j08_single", "SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS name FROM orders WHERE o_orderkey < 500")
+
+
+@query("j07_inequality_anti", f"SELECT id FROM {L} WHERE NOT EXISTS (SELECT 1 FROM {R} WHERE rk > k)")
+def _inequality_anti(spark, sf_dir):
+    return joins.anti_where(spark.sql(f"SELECT * FROM {L}"), spark.sql(f"SELECT * FROM {R}"), F.col("rk") > F.col("k")).select("id")
+
+
+for _name, _op in (("below", "<"), ("above", ">=")):
+
+    @query(f"j07_inequality_mark_{_name}", f"SELECT id, k, k {_op} ANY (SELECT rk FROM {R}) AS mark FROM {L}")
+    def _inequality_mark(spark, sf_dir, op=_op):
+        return joins.mark_where(spark.sql(f"SELECT * FROM {L}"), spark.sql(f"SELECT * FROM {R}"), "k", op, "rk")
+
+    @query(f"j07_inequality_mark_{_name}_no_nulls", f"SELECT id, k, k {_op} ANY (SELECT rk FROM {R} WHERE rk IS NOT NULL) AS mark FROM {L}")
+    def _inequality_mark_no_nulls(spark, sf_dir, op=_op):
+        return joins.mark_where(spark.sql(f"SELECT * FROM {L}"), spark.sql(f"SELECT * FROM {R} WHERE rk IS NOT NULL"), "k", op, "rk")
+
+
+text("j08_single", "SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS name FROM orders")
 text("j09_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 
 
 @query("j10_asof", """SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN
- (SELECT o_custkey, o_orderdate + INTERVAL 8 YEAR AS at, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate < DATE '1997-01-01' GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.at""")
+ (SELECT o_custkey, o_orderdate + INTERVAL 8 YEAR AS at, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.at""")
 def _asof(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate < DATE '1997-01-01'").select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 8 YEAR").alias("ts"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 8 YEAR").alias("ts"), "o_orderkey")
     return joins.as_of(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), o, "user_id", "ts", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
+LT = "(VALUES (1, 1, 5), (2, 1, CAST(NULL AS INT)), (3, CAST(NULL AS INT), 5), (4, 2, 1), (5, 1, 9), (6, 3, 3)) AS l(id, k, t)"
+RT = "(VALUES (1, 5, 7), (1, 6, 8), (CAST(NULL AS INT), 1, 9), (1, CAST(NULL AS INT), 6), (2, 2, 1), (3, 3, CAST(NULL AS INT))) AS r(rk, rt, v)"
+for _name, _hot in (("", False), ("_hot", True)):
+
+    @query(f"j10_asof_nulls{_name}", f"SELECT id, v FROM {LT} ASOF LEFT JOIN (SELECT * FROM {RT}) r2 ON l.k = r2.rk AND l.t >= r2.rt")
+    def _asof_nulls(spark, sf_dir, hot=_hot):
+        r = spark.sql(f"SELECT rk AS k, rt AS t, v FROM {RT}")
+        return joins.as_of(spark.sql(f"SELECT * FROM {LT}"), r, "k", "t", ["v"], hot).select("id", "v")
+
+
+@query("j10_asof_two_keys", """SELECT e.event_id, o.other FROM events e ASOF LEFT JOIN (SELECT user_id, event_type, ts, max(event_id) AS other FROM events WHERE value > 50 GROUP BY ALL) o
+ ON e.user_id = o.user_id AND e.event_type = o.event_type AND e.ts >= o.ts""")
+def _asof_two_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    o = e.where("value > 50").select("user_id", "event_type", "ts", F.col("event_id").alias("other"))
+    return joins.as_of(e, o, ["user_id", "event_type"], "ts", ["other"], hot=True).select("event_id", "other")
+
+
 @query("j10_positional", "SELECT a.r_name AS a, b.n_name AS b FROM (SELECT r_name FROM region ORDER BY r_name) a POSITIONAL JOIN (SELECT n_name FROM nation ORDER BY n_nationkey) b")
 def _positional(spark, sf_dir):
     a, b = table(spark, sf_dir, "region").select(F.col("r_name").alias("a")), table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("b"))

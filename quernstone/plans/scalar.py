@@ -49,6 +49,13 @@ def _arithmetic(spark, sf_dir):
     return p.select("p_partkey", (p.p_partkey + p.p_size).alias("a"), (p.p_partkey - p.p_size).alias("s"), (p.p_partkey * p.p_size).alias("m"), (-p.p_size).alias("neg"))
 
 
+@query("f05_whole_division", "SELECT CAST(a // nullif(b, 0) AS BIGINT) AS q FROM (VALUES (CAST(9007199254740993 AS BIGINT), CAST(1 AS BIGINT)), (-9007199254740993, 2), (9223372036854775807, 3), (7, -2), (5, NULL), (NULL, 5), (5, 0)) AS t(a, b)")
+def _whole_division(spark, sf_dir):
+    rows = [(9007199254740993, 1), (-9007199254740993, 2), (9223372036854775807, 3), (7, -2), (5, None), (None, 5), (5, 0)]
+    t = spark.createDataFrame(rows, "a bigint, b bigint")
+    return t.select(P.integer_divide(t.a, t.b).alias("q"))
+
+
 @query("f04_divide", "SELECT p_partkey, p_size / nullif(p_partkey % 7, 0) AS d, CAST((p_size - 25) // nullif(p_partkey % 7, 0) AS BIGINT) AS i, (p_size - 25) % nullif(p_partkey % 7, 0) AS r FROM part")
 def _divide(spark, sf_dir):
     p = table(spark, sf_dir, "part")

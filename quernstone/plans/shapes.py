@@ -28,13 +28,19 @@ def _top_per_group(spark, sf_dir):
 
 
 text("o01_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
-text("o03_nulls_first", f"SELECT id, k FROM {NULLED} t ORDER BY k ASC NULLS FIRST, id LIMIT 400")
+text("o03_nulls_first", f"SELECT id, k FROM {NULLED} t ORDER BY k ASC NULLS FIRST, id")
 
 
-@query("o03_nulls_last", f"SELECT id, k FROM {NULLED} t ORDER BY k, id LIMIT 1800")
+# n rows by their order, so that the place of the nulls shows in the rows and not only in their order
+text("o03_places_of_nulls", f"SELECT id, CAST(row_number() OVER (ORDER BY k DESC NULLS FIRST, id) AS BIGINT) AS a, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, id) AS BIGINT) AS b FROM {NULLED} t")
+text("o03_thirty_thousand", """SELECT k, count(*) AS n, min(place) AS first_place, max(place) AS last_place FROM (SELECT k, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST, id) AS BIGINT) AS place FROM
+ (SELECT CAST(i AS INT) AS id, CASE WHEN i % 7 = 0 THEN NULL ELSE CAST(i % 100 AS INT) END AS k FROM range(30000) AS r(i)) a) b GROUP BY k""")
+
+
+@query("o03_nulls_last", f"SELECT id, k FROM {NULLED} t ORDER BY k, id")
 def _nulls_last(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("k"))
-    return ordering.top_n(p, 1800, "k", "id")
+    return p.orderBy(*ordering.keys("k", "id"))
 
 
 @query("o04_top_n", f"SELECT id, k FROM {NULLED} t ORDER BY k DESC NULLS LAST, id LIMIT 25 OFFSET 10")
@@ -52,7 +58,7 @@ def _limit_percent(spark, sf_dir):
     return ordering.limit_percent(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 10, "-o_totalprice", "o_orderkey")
 
 
-@query("o07_sample")
+@query("o07_sample", "SELECT * FROM orders WHERE CAST('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) < CAST(floor(0.1 * 4294967296) AS BIGINT)")
 def _sample(spark, sf_dir):
     return ordering.sample(table(spark, sf_dir, "orders"), 0.1, 42, ["o_orderkey"])
 
@@ -68,8 +74,8 @@ SELECT o_custkey, round(t, 2) AS t FROM big, top WHERE t > m * 0.7""")
 text("x03_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
 text("x04_in_exists", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08)")
 text("x04_not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
-text("x05_unnest", "SELECT vec_id, pos, round(CAST(x AS DOUBLE), 5) AS x FROM (SELECT vec_id, posexplode(embedding) AS (pos, x) FROM embeddings WHERE vec_id < 50) t WHERE pos < 4",
-     "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(embedding[pos + 1] AS DOUBLE), 5) AS x FROM embeddings, range(4) r(pos) WHERE vec_id < 50")
+text("x05_unnest", "SELECT vec_id, pos, round(CAST(x AS DOUBLE), 5) AS x FROM (SELECT vec_id, posexplode(embedding) AS (pos, x) FROM embeddings) t",
+     "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(embedding[pos + 1] AS DOUBLE), 5) AS x FROM embeddings, range(64) r(pos)")
 text("x05_words", "SELECT w, count(*) AS n FROM (SELECT explode(split(text, ' ')) AS w FROM benchmark) t GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) t GROUP BY w")
 
 
@@ -79,5 +85,5 @@ def _pivot(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-text("x06_unpivot", "SELECT * FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey < 200) UNPIVOT (v FOR name IN (o_orderstatus, o_orderpriority))",
-     "SELECT * FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey < 200) ON o_orderstatus, o_orderpriority INTO NAME name VALUE v)")
+text("x06_unpivot", "SELECT * FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) UNPIVOT (v FOR name IN (o_orderstatus, o_orderpriority))",
+     "SELECT * FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) ON o_orderstatus, o_orderpriority INTO NAME name VALUE v)")

@@ -43,10 +43,10 @@ def _csv(spark, sf_dir):
     return scans.csv(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 
 
-@query("s08_json", "SELECT event_id, event_type, value FROM events WHERE user_id < 20")
+@query("s08_json", "SELECT event_id, event_type, value FROM events")
 def _json(spark, sf_dir):
     path = _folder(spark)
-    scans.write(table(spark, sf_dir, "events").where("user_id < 20").select("event_id", "event_type", "value"), path, "json")
+    scans.write(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path, "json")
     return scans.json(spark, path, "event_id bigint, event_type string, value double")
 
 
@@ -74,6 +74,44 @@ def _pinned(spark, sf_dir):
     return engine.sql("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
 
 
+@query("s15_pinned_other_columns", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+def _pinned_other_columns(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    engine.pins.pin(table(spark, sf_dir, "orders"), "orders", f"{sf_dir}/orders.parquet", ["o_orderstatus", "o_totalprice"])
+    return engine.sql("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+
+
+@query("s16_unpinned", "SELECT * FROM region")
+def _unpinned(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    engine.pins.pin(table(spark, sf_dir, "region"), "region", "region", ["r_regionkey"])
+    engine.pins.unpin("region")
+    return engine.sql("SELECT * FROM region")
+
+
+@query("s07_read_parquet", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s FROM part WHERE p_size > 10")
+def _read_parquet(spark, sf_dir):
+    return Engine(spark).sql(f"SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s FROM read_parquet('{sf_dir}/part.parquet') WHERE p_size > 10")
+
+
+@query("s07_read_csv", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def _read_csv(spark, sf_dir):
+    path = _folder(spark)
+    scans.write(table(spark, sf_dir, "nation"), path, "csv", header="true")
+    return Engine(spark).sql(f"SELECT n_regionkey, count(*) AS n FROM read_csv('{path}') GROUP BY n_regionkey")
+
+
+@query("s20_arrow", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1")
+def _arrow(spark, sf_dir):
+    got = scans.arrow(table(spark, sf_dir, "region").where("r_regionkey > 1"))
+    return spark.createDataFrame(got)
+
+
+@query("s21_labels", "SELECT count(*) AS n FROM supplier")
+def _labels(spark, sf_dir):
+    return Engine(spark, sf_dir).sql("SELECT count(*) AS n FROM supplier", label="suppliers")
+
+
 @query("s17_pinned_changes", "SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s FROM (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 100) t")
 def _pinned_changes(spark, sf_dir):
     engine = Engine(spark, sf_dir)
@@ -116,7 +154,20 @@ SELECT vec_id, label, round(abs(d), 6) + 0.0 AS distance FROM d ORDER BY d, vec_
         return found.withColumn("distance", F.round(F.abs("distance"), 6) + 0.0)
 
 
-text("e01_hash_partition", "SELECT pmod(crc32(CAST(user_id AS STRING)), 4) >= 0 AS ok, count(*) AS n FROM events GROUP BY 1", "SELECT true AS ok, count(*) AS n FROM events")
+#: CRC-32 of a text, bit by bit, for engines without such a function.
+CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, CAST(i AS INT), 1))::UBIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+
+@query("e01_hash_partition", f"SELECT part, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM (SELECT event_id, CAST({CRC.format(s='CAST(user_id AS VARCHAR)')} % 4 AS BIGINT) AS part FROM events) t GROUP BY part")
+def _hash_partition(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("part", streams.crc32_partition(4, "user_id").cast("bigint"))
+    return e.groupBy("part").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
+
+
+@query("e03_fragment_partitions", f"SELECT n_nationkey, CAST({CRC.format(s='n_name')} % 3 AS BIGINT) AS part FROM nation")
+def _fragment_partitions(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", streams.crc32_partition(3, "n_name").cast("bigint").alias("part"))
+
 
 
 @query("t01_exchange_streams", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY event_type")
@@ -133,6 +184,22 @@ def _streams(spark, sf_dir):
     return parts[0].unionByName(parts[1]).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s"))
 
 
+@query("t05_empty_stream", "SELECT event_type, count(*) AS n FROM events WHERE value > 90 GROUP BY event_type")
+def _empty_stream(spark, sf_dir):
+    """A fragment over one stream with a batch and one without."""
+    session, e = streams.Session(), table(spark, sf_dir, "events").select("event_type", "value")
+    session.declare(1, ["a"], e.schema)
+    session.declare(10, ["a"], e.schema)
+    session.declare(2, ["f"])
+    session.declare(3, ["r"])
+    session[1].push("a", e.where("value > 90"))
+    session[1].close("a")
+    session[10].close("a")
+    streams.Fragment(spark, session, "f", "SELECT event_type FROM stream_1 UNION ALL SELECT event_type FROM stream_10", [1, 10], [2]).run()
+    streams.relay(session, "r", 2, [3])
+    return session[3].pull().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("t06_tumbling", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def _tumbling(spark, sf_dir):
     out = streams.windowed(table(spark, sf_dir, "events"), "1 day", by=("event_type",))

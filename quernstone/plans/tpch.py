@@ -1,13 +1,16 @@
-"""The 22 TPC-H queries on the tables at hand. Columns that these lack are left out; partsupp is made of the pairs that lineitem has."""
+"""The 22 TPC-H queries (fixed values: their texts are a public benchmark's) on the tables at hand. Columns that these lack are left out; partsupp is made of the pairs that lineitem has."""
 
 from __future__ import annotations
 
 from .base import text
 
-PARTSUPP = """partsupp AS (
+def partsupp(of: str = "") -> str:
+    """partsupp as a common table. of: which lines count; pairs are whole or absent as long as it asks about part or supplier alone, so that a query's own filter is passed on."""
+    return f"""partsupp AS (
   SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty,
          min(l_extendedprice / l_quantity) AS ps_supplycost
-  FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+  FROM lineitem {of} GROUP BY l_partkey, l_suppkey)"""
+
 
 text("tpch_q01", """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
@@ -19,7 +22,7 @@ FROM lineitem WHERE l_shipdate <= DATE '2001-09-02'
 GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""")
 
 text("tpch_q02", f"""
-WITH {PARTSUPP}
+WITH {partsupp("WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10 AND p_type LIKE '%MO')")}
 SELECT round(s_acctbal, 2) AS s_acctbal, s_name, n_name, p_partkey, p_brand
 FROM part, supplier, partsupp ps, nation, region
 WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size <= 10 AND p_type LIKE '%MO' AND s_nationkey = n_nationkey
@@ -70,7 +73,7 @@ SELECT o_year, round(sum(CASE WHEN nation = 'NATION_2' THEN volume ELSE 0 END) /
 GROUP BY o_year ORDER BY o_year""")
 
 text("tpch_q09", f"""
-WITH {PARTSUPP}
+WITH {partsupp("WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')")}
 SELECT nation, o_year, round(sum(amount), 2) AS sum_profit FROM (
   SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity * 0.5 AS amount
   FROM part, supplier, lineitem, partsupp, orders, nation
@@ -86,7 +89,7 @@ WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
 
 text("tpch_q11", f"""
-WITH {PARTSUPP}, valued AS (
+WITH {partsupp("WHERE l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7')")}, valued AS (
   SELECT ps_partkey, sum(ps_supplycost * ps_availqty) AS v FROM partsupp, supplier, nation
   WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7' GROUP BY ps_partkey)
 SELECT ps_partkey, round(v, 2) AS value FROM valued WHERE v > (SELECT sum(v) * 0.005 FROM valued) ORDER BY value DESC, ps_partkey""")
@@ -116,7 +119,7 @@ SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue
 WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""")
 
 text("tpch_q16", f"""
-WITH {PARTSUPP}
+WITH {partsupp("WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9))")}
 SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp, part
 WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)
   AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
@@ -140,7 +143,7 @@ WHERE (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity >= 1 AND l_
    OR (p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity >= 20 AND l_quantity <= 30 AND p_size BETWEEN 1 AND 35 AND l_returnflag IN ('A', 'R'))""")
 
 text("tpch_q20", f"""
-WITH {PARTSUPP}
+WITH {partsupp("WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%')")}
 SELECT s_name, s_suppkey FROM supplier, nation
 WHERE s_suppkey IN (SELECT ps_suppkey FROM partsupp WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%')
     AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem

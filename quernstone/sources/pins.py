@@ -16,6 +16,7 @@ class Pin:
     columns: list[str]
     tier: str
     frame: DataFrame
+    changed: bool = False
 
 
 class PinnedError(ValueError):
@@ -30,11 +31,11 @@ class Pins:
         self._pins: dict[str, Pin] = {}
 
     def pin(self, df: DataFrame, name: str, source: str, columns: list[str] | None = None, tier: str = "spill") -> bool:
-        """Reads columns of df into memory now. Pinning a name again with the memory tier adds columns if the row counts match; with the spill
-        tier it replaces the table."""
+        """Reads columns of df into memory now. Pinning a name again with the memory tier adds columns if the row counts match; else, and with the
+        spill tier, it replaces the table."""
         if tier not in TIERS:
             raise ValueError(f"tier must be one of {sorted(TIERS)}")
-        columns = columns or df.columns
+        columns, asked = columns or df.columns, columns or df.columns
         missing = [c for c in columns if c not in df.columns]
         if missing:
             raise ValueError(f"no columns {missing}")
@@ -44,9 +45,10 @@ class Pins:
         frame = df.select(*columns).persist(TIERS[tier])
         rows = frame.count()
         if old:
-            if tier == "memory" and old.source == source and old.frame.count() != rows:
+            if columns != asked and old.frame.count() != rows:
                 frame.unpersist()
-                raise PinnedError("the table has changed since it was pinned")
+                columns, frame = asked, df.select(*asked).persist(TIERS[tier])
+                frame.count()
             old.frame.unpersist()
         self._pins[name.lower()] = Pin(source, columns, tier, frame)
         return True
@@ -66,10 +68,14 @@ class Pins:
     def names(self) -> list[str]:
         return list(self._pins)
 
-    def serves(self, name: str, source: str, columns: list[str]) -> bool:
-        """Whether a scan of these columns of source can be answered from the pin."""
+    def serves(self, name: str, source: str | None, columns: list[str]) -> bool:
+        """Whether a scan of these columns of source (None: whatever it was) can be answered from the pin. A pin that has been appended to or deleted
+        from can't be left out: then columns that it lacks are an error."""
         pin = self._pins.get(name.lower())
-        return bool(pin and pin.source == source and set(columns) <= set(pin.columns))
+        lacks = sorted(set(columns) - set(pin.columns)) if pin else []
+        if pin and lacks and pin.changed:
+            raise PinnedError(f"{name} has changed since it was pinned, without {lacks}")
+        return bool(pin and source in (None, pin.source) and not lacks)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Committed inserts become visible to later queries."""
@@ -86,6 +92,20 @@ class Pins:
         self._need(name)
         raise PinnedError(f"{name} is pinned: unpin it before updating")
 
+    def merge(self, name: str, *_: object) -> None:
+        """Nor merged into."""
+        self.update(name)
+
+    def checkpoint(self, name: str) -> None:
+        """The table's files were rewritten: the pin no longer holds, and later queries read the files."""
+        self._need(name)
+        self.unpin(name)
+
+    def release(self) -> None:
+        """Releases all tables."""
+        for name in self.names():
+            self.unpin(name)
+
     def _need(self, name: str) -> Pin:
         if name.lower() not in self._pins:
             raise PinnedError(f"{name} is not pinned")
@@ -94,5 +114,5 @@ class Pins:
     def _swap(self, pin: Pin, frame: DataFrame) -> None:
         frame = frame.persist(TIERS[pin.tier])
         frame.count()
-        pin.frame, old = frame, pin.frame
+        pin.frame, old, pin.changed = frame, pin.frame, True
         old.unpersist()

@@ -77,6 +77,85 @@ def test_pins(spark, sf_dir):
         pins.pin(df, "n", "nation", tier="disk")
 
 
+def test_pins_fall_through_and_are_replaced(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation")
+    engine.pins.pin(nation, "nation", "nation", ["n_nationkey"], "memory")
+    assert "InMemoryTableScan" in plan(engine.sql("SELECT sum(n_nationkey) AS s FROM nation"))
+    assert "InMemoryTableScan" not in plan(engine.sql("SELECT sum(n_nationkey) AS s FROM nation WHERE n_name > 'A'"))
+    assert len(engine.sql("SELECT * FROM nation").columns) == 3
+    engine.pins.pin(nation.where("n_regionkey = 1"), "nation", "nation", ["n_name"], "memory")  # other rows: replaced
+    assert engine.pins.get("nation").columns == ["n_name"] and engine.pins.get("nation").count() < 25
+    engine.pins.delete("nation", "n_name = 'NATION_1'")
+    with pytest.raises(PinnedError):
+        engine.sql("SELECT n_regionkey FROM nation")
+    with pytest.raises(PinnedError):
+        engine.pins.merge("nation")
+    engine.pins.checkpoint("nation")
+    assert engine.sql("SELECT * FROM nation").count() == 25
+    engine.pins.release()
+
+
+def test_labels_end_with_their_query(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    said = lambda: spark.sparkContext.getLocalProperty("spark.job.description")
+    engine.sql("SELECT 1 AS x", label="one")
+    assert said() == "one"
+    engine.label("all")
+    engine.sql("SELECT 1 AS x")
+    assert said() == "all"
+    engine.label(None)
+    engine.sql("SELECT 1 AS x")
+    assert said() is None
+
+
+def test_s3_paths_are_read_through_s3a():
+    assert scans._store("s3://bucket/a/*.parquet") == "s3a://bucket/a/*.parquet" and scans._store("/a") == "/a"
+
+
+def test_fragments_know_their_inputs(spark):
+    session = streams.Session()
+    for k in (1, 10):
+        session.declare(k, ["a"])
+    session.declare(2, ["f"])
+    with pytest.raises(streams.StreamError, match="not read"):
+        streams.Fragment(spark, session, "f", "SELECT id FROM stream_10", [1, 10], [2])
+    session[1].close("a")
+    assert streams.Fragment(spark, session, "f", "SELECT id FROM stream_1", [1], [2]).run() is None
+    assert session[2].pull() is None and session[2].drained
+
+
+def test_keys_of_different_types_meet_in_one_partition(spark):
+    a = spark.range(50).select(F.col("id").cast("int").alias("k"))
+    b = spark.range(50).select(F.col("id").alias("k"))
+    parts = [{r.k: r.p for r in x.select("k", streams.partition_of(5, "k", of=x).alias("p")).collect()} for x in (a, b)]
+    assert parts[0] == parts[1] and len(set(parts[0].values())) == 5
+
+
+def test_a_failed_stream_is_relayed_as_failed(spark):
+    session = streams.Session()
+    session.declare(1, ["a"])
+    session.declare(2, ["r"])
+    session[1].fail("lost")
+    with pytest.raises(streams.StreamError, match="lost"):
+        streams.relay(session, "r", 1, [2])
+    with pytest.raises(streams.StreamError, match="lost"):
+        session[2].pull()
+
+
+def test_hot_as_of_against_the_plain_one(spark):
+    left = spark.range(4000).select((F.col("id") % 3).alias("k"), "id", ((F.col("id") * 7919) % 1000).alias("t"))
+    right = spark.range(500).select((F.col("id") % 4).alias("k"), ((F.col("id") * 104729) % 1000).alias("t"), F.col("id").alias("v"))
+    plain, spread = (sorted(map(tuple, joins.as_of(left, right, "k", "t", ["v"], hot).select("id", "v").collect()), key=repr) for hot in (False, True))
+    assert plain == spread
+
+
+def test_shares_of_rows_are_not_gathered(spark, sf_dir):
+    df = ordering.limit_percent(table(spark, sf_dir, "orders"), 10, "-o_totalprice", "o_orderkey")
+    assert "GlobalLimit" not in plan(df) and "TakeOrdered" not in plan(df)
+    assert [r.o_orderkey for r in df.collect()] == [r.o_orderkey for r in table(spark, sf_dir, "orders").orderBy(*ordering.keys("-o_totalprice", "o_orderkey")).limit(150).collect()]
+
+
 def test_engine_needs_known_tables(spark, sf_dir):
     with pytest.raises(KeyError):
         Engine(spark, sf_dir).table("nope")
@@ -183,7 +262,8 @@ def test_as_of_and_distinct_on_with_nulls(spark):
     left = scans.values(spark, [(1, 5), (1, None), (None, 5), (2, 1)], "k int, t int")
     right = scans.values(spark, [(1, 5, 7), (1, 6, 8), (None, 1, 9), (2, 2, 1)], "k int, t int, v int")
     got = {(r.k, r.t): r.v for r in joins.as_of(left, right, "k", "t", ["v"]).collect()}
-    assert got[1, 5] == 7 and got[2, 1] is None
+    assert got == {(1, 5): 7, (1, None): None, (None, 5): None, (2, 1): None}
+    assert {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", ["v"], hot=True).collect()} == got
     df = scans.values(spark, [(1, None), (1, 3), (2, None)], "k int, v int")
     assert {tuple(r) for r in ordering.distinct_on(df, ["k"], "v").collect()} == {(1, 3), (2, None)}
 
