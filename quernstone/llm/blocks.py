@@ -47,8 +47,15 @@ def _thaw(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Shuffle partitions of an exchange: as many as the session has, or one for each 32 MB of what the scan reads, where that is known (a PB or more is not)."""
+    spark = docs.sparkSession
+    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), read >> 25 if read < 1 << 50 else 0)
+
+
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Packs the rows of docs, whatever its columns, into one compressed row per block and deals the blocks out.
+    """Packs the rows of docs, whatever its columns, into one compressed row per block and deals the blocks out, parts_for(docs) partitions in all.
 
     A partition's rows fill its blocks in turn; a block ends when it holds block_bytes or more, so the number of blocks follows the input. If an
     executor is lost, its blocks are packed again: a partition's rows must then come in the same order, as those of files do. Were they not, exchange()
@@ -77,14 +84,12 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield close()
 
     common.ship(docs.sparkSession)
-    return docs.mapInArrow(fill, _BLOCK).repartition("block")
+    return docs.mapInArrow(fill, _BLOCK).repartition(parts_for(docs), "block")
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """Four buckets for each shuffle partition, and for each 32 MB of what the scan reads."""
-    spark = docs.sparkSession
-    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(read, 1 << 50) >> 25)
+    """Four buckets for each shuffle partition."""
+    return 4 * parts_for(docs)
 
 
 def exchange(
@@ -93,9 +98,10 @@ def exchange(
     answer: Callable[[list[bytes]], list[bytes]],
     use: Callable[[pa.Table, dict[int, bytes]], pa.Table],
     schema: str,
+    parts: int,
 ) -> DataFrame:
     """ask(documents) gives (bucket, question); answer(questions of a bucket) gives one answer for each; use(documents, {bucket: answer})
-    gives the result rows of a block. ask must give the same questions for the same block each time."""
+    gives the result rows of a block. ask must give the same questions for the same block each time. parts: partitions of both exchanges."""
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +132,8 @@ def exchange(
         return use(_thaw(payload.as_buffer()), got)
 
     questions = blocks.mapInArrow(asking, _QUESTION)
-    answers = questions.groupBy("bucket").applyInArrow(answering, _QUESTION)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(using, schema)
+    answers = questions.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answering, _QUESTION)
+    return blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(using, schema)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):

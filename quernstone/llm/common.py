@@ -31,12 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, one machine's own temporary folder, and on a cluster an error: files
+    that each executor wrote to its own disk would be missing later."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not hasattr(context, "_quernstone_folder"):
+        context._quernstone_folder = tempfile.mkdtemp(prefix="quernstone-")
+    return context._quernstone_folder
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quernstone_run"):
+        context._quernstone_run = f"{context.applicationId}-{uuid.uuid4().hex[:8]}"
+    return f"{shared_folder(spark)}/quernstone/{context._quernstone_run}"
 
 
 def ship(spark: SparkSession) -> None:
@@ -56,20 +69,22 @@ def ship(spark: SparkSession) -> None:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts its lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quernstone/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
-    """Deletes all that materialise() has written to the shared folder. Results that read it must have been written first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quernstone")
+    """Deletes all that materialise() has written for this application. Results that read it must have been written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows of one Arrow batch, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of one Arrow batch, so that a batch of long texts stays small, where the session has Spark's own bound: one that its user chose stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def lower_az(text: Column) -> Column:
@@ -153,7 +168,7 @@ def unpack(b: bytes) -> list[np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit (splitmix64's finaliser)."""
+    """A bijection of 64-bit integers that spreads every bit (splitmix64's finaliser; shifts and factors are fixed values)."""
     h = h.astype(np.uint64, copy=True)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h ^= h >> np.uint64(shift)

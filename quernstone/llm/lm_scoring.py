@@ -254,7 +254,7 @@ def lm_scores(docs: DataFrame, held_out: Column, discount: float = 0.75) -> Data
         )
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.exchange(blocks.blocks_of(docs), ask, answer, use, schema)
+    return blocks.exchange(blocks.blocks_of(docs), ask, answer, use, schema, blocks.parts_for(docs))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

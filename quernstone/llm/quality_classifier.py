@@ -18,9 +18,6 @@ SAMPLE, LONGEST = 6000, 1 << 14
 HASH_BITS, LEAST_DOCUMENTS = 18, 5
 GOOD, BAD, NO_VOTE = 0, 1, 2
 
-#: Insults (fixed values).
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-
 #: Lengths, in bytes, of the beginnings of words that are counted; a feature is a beginning that a text has so often, or in that share of its words.
 BEGINNINGS, OFTEN, SHARES = (4, 5, 7), (1, 2, 3), (0.01, 0.03)
 
@@ -105,7 +102,6 @@ class Features:
 
     text: np.ndarray
     place: np.ndarray
-    insults: np.ndarray
 
 
 def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None = None) -> Features:
@@ -120,8 +116,6 @@ def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None
     mask = np.uint64((1 << HASH_BITS) - 1)
     used = np.ones(1 << HASH_BITS, bool) if used is None else used
     values = vocabulary.to_pylist()
-    insult = np.array([v in _INSULTS for v in values], bool)
-    insults = np.bincount(of, insult[codes], n) if len(codes) else np.zeros(n)
     places = (common.hash_values(vocabulary) & mask).astype(np.int64)
     asked = used[places][codes]
     pairs = [of[asked] << 32 | places[codes[asked]]]
@@ -142,7 +136,7 @@ def features(texts: pa.Array, s: dict[str, np.ndarray], used: np.ndarray | None
         pairs.append(np.arange(n) << 32 | at.astype(np.int64)[np.searchsorted(edges, s[name], side="right")])
     pairs = np.concatenate(pairs)
     pairs = np.unique(pairs[used[pairs & 0xFFFFFFFF]])
-    return Features(pairs >> 32, pairs & 0xFFFFFFFF, insults)
+    return Features(pairs >> 32, pairs & 0xFFFFFFFF)
 
 
 def _apart(has: np.ndarray, ones: np.ndarray, mean: float) -> np.ndarray:
@@ -154,9 +148,6 @@ def _least(n: int) -> int:
     return min(LEAST_DOCUMENTS, max(2, n // 40))
 
 
-_INSULTS = frozenset(x.encode() for x in INSULTS)
-
-
 def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Expectation-maximisation over votes [texts, labellers] of GOOD, BAD or NO_VOTE: posterior of BAD.
 
@@ -221,10 +212,11 @@ class Scorer:
         return p
 
 
-def telling(f: Features, label: np.ndarray) -> np.ndarray:
-    """Texts with a feature that twice LEAST_DOCUMENTS sampled texts or more have, 19 in 20 of them labelled 1."""
-    has, ones = np.bincount(f.place, minlength=1 << HASH_BITS), np.bincount(f.place, (label == 1)[f.text], 1 << HASH_BITS)
-    return np.bincount(f.text, ((has >= 2 * _least(len(label))) & (ones >= 0.95 * has))[f.place], len(label)) > 0
+def telling(f: Features, label: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A labeller learned from the texts of: texts with a feature that LEAST_DOCUMENTS of those or more have, 19 in 20 of them labelled 1."""
+    mine = of[f.text]
+    has, ones = (np.bincount(f.place[mine], w, 1 << HASH_BITS) for w in (None, (label == 1)[f.text[mine]]))
+    return np.bincount(f.text, ((has >= _least(len(label))) & (ones >= 0.95 * has))[f.place], len(label)) > 0
 
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
@@ -245,13 +237,14 @@ def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Scorer:
     far = [np.abs(_apart(has, ones[k], labels[k].mean())) >= 2 for k in (0, 1)]
     used = (has >= _least(len(texts))) & (far[0] | far[1])
     parts = [features(p.column(0), own, used) for p, own in zip(pieces, figures, strict=True)]
-    f = Features(np.concatenate([x.text + b for x, b in zip(parts, before, strict=False)]), np.concatenate([x.place for x in parts]), np.concatenate([x.insults for x in parts]))
+    f = Features(np.concatenate([x.text + b for x, b in zip(parts, before, strict=False)]), np.concatenate([x.place for x in parts]))
     review = np.where(np.isnan(quality), NO_VOTE, np.where(quality > 0, GOOD, BAD))
     bad_form = label_model(np.column_stack((quality_votes(s), review)))
     review = np.where(np.isnan(toxic), NO_VOTE, np.where(toxic > 0, BAD, GOOD))
-    lexicon = np.where(f.insults >= 1, BAD, NO_VOTE)
-    learned = np.where(telling(f, toxic), BAD, GOOD)
-    insulting = label_model(np.column_stack((lexicon, learned, review)))
+    # labellers of toxic words learn them from overlapping thirds of the sample, so that each errs in its own way
+    third = np.arange(len(texts)) % 3
+    learned = [np.where(telling(f, toxic, third != k), BAD, GOOD) for k in range(3)]
+    insulting = label_model(np.column_stack((*learned, review)))
     heads = [train_linear(f, len(texts), target) for target in (bad_form, insulting)]
     return Scorer(np.stack([w for w, _ in heads]), np.array([b for _, b in heads]))
 
@@ -266,8 +259,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.nd
     if not len(ids):
         return pa.array([], pa.string()), np.empty(0), np.empty(0)
     few = docs.sparkSession.createDataFrame(ids, "doc_id long, quality double, toxic double")  # at most SAMPLE rows
-    rows = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality", "toxic")
-    t = rows.limit(2 * SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))  # of equal ids one text
+    t = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     label = lambda c: t.column(c).to_numpy().astype(float)
     return common.array_of(t, "text"), label("quality"), label("toxic")
 
@@ -300,6 +294,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     return docs.mapInArrow(run, schema)
 
 
+def good_ones(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify() keeps, all columns as they are, whatever their names."""
+    clash = [c for c in docs.columns if c in ("bad_form", "toxic", "keep")]
+    aside = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
+    kept = classify(aside, labels).where("keep").select(*[F.col(f"`{c}`") for c in aside.columns])
+    return kept.withColumnsRenamed({f"__{c}": c for c in clash})
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     out = classify(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))

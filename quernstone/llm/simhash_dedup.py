@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from . import common
 from .components import components
@@ -324,13 +325,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component of near_duplicates() the row with the smallest doc_id stays, and of
-    equal doc_ids one. Components are found with two-word shingles without repeats, seven bits, and that similarity of five-word shingles:
+    equal doc_ids the one whose text, then whose hash of all columns that can be hashed, is smallest. Components are found with two-word shingles without repeats, seven bits, and that similarity of five-word shingles:
     few edits change few words and so few bits of such fingerprints. Rows with a null doc_id can't be told apart and all stay.
     """
     found = near_duplicates(docs, 2, 7, False, similarity)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    first = F.struct(F.col("text"), F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]))
+    known = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), first).alias("__row"))
+    return known.select("__row.*").union(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

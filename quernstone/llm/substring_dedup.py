@@ -123,7 +123,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
         )
 
     packed = blocks.blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return blocks.exchange(packed, ask, answer, use, "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
+    return blocks.exchange(packed, ask, answer, use, "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string", blocks.parts_for(docs))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

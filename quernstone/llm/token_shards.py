@@ -19,6 +19,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A key of the permutation, tokens a sequence, sequences a shard.
 KEY, LENGTH, SHARD = 0x6C62272E07BB0142, 1024, 4096
+#: Bytes of text whose documents are packed together; partitions of the result, a shard each up to this number.
+GROUP_BYTES, PARTS = 32 << 20, 1 << 16
 ROUNDS = 6
 
 
@@ -94,8 +96,18 @@ def indices(slot: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(part, doc_id, text): rows dealt to groups of about group_bytes of text by a hash of doc_id and text, each group's in the order of doc_id and text. Groups and
+    their order hang on the rows alone, not on files, splits or partitions."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    groups = max(1, -(-size // group_bytes))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
+    return docs.select(part.alias("part"), "doc_id", "text").repartition(groups, "part").sortWithinPartitions("part", "doc_id", "text")
+
+
 def sequences(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
-    """Each partition's documents, an end after each, cut into sequences of length tokens; a partition's last one is filled up with ends."""
+    """Each group's documents, an end after each, cut into sequences of length tokens; a group's last one is filled up with ends."""
     spark = docs.sparkSession
     common.ship(spark)
     with open(vocabulary, "rb") as f:
@@ -103,7 +115,7 @@ def sequences(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(vocabulary, shared.value)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number = -1, 0
         tokens, ids, starts = np.empty(0, tokenizer.dtype), [], np.empty(0, np.int64)
 
         def emit(full: np.ndarray, real: int):
@@ -122,44 +134,55 @@ def sequences(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
                 }
             )
 
-        for batch in batches:
-            for piece in common.slices(batch, 4 << 20):
-                coded = tokenizer.encode([x or "" for x in piece.column("text").to_pylist()])
-                sizes = np.fromiter((len(x) + 1 for x in coded), np.int64, len(coded))
-                fresh = np.full(int(sizes.sum()), tokenizer.end, tokenizer.dtype)
-                ends = np.cumsum(sizes)
-                for x, e in zip(coded, ends, strict=True):
-                    fresh[e - 1 - len(x) : e - 1] = x
-                starts = np.concatenate((starts, len(tokens) + ends - sizes))
-                ids += piece.column("doc_id").to_pylist()
-                tokens = np.concatenate((tokens, fresh))
-                whole = len(tokens) // length * length
-                if whole:
-                    yield emit(tokens[:whole], len(tokens))
-                    number += whole // length
-                    first = int(np.searchsorted(np.append(starts[1:], len(tokens)), whole, side="right"))
-                    tokens, ids, starts = tokens[whole:], ids[first:], starts[first:] - whole
+        def last():
+            return emit(np.pad(tokens, (0, length - len(tokens)), constant_values=tokenizer.end), len(tokens))
+
+        for piece in (own for batch in batches for cut in common.slices(batch, 4 << 20) for own in of_one_part(cut)):
+            if piece.column("part")[0].as_py() != part:
+                if len(tokens):
+                    yield last()
+                part, number = piece.column("part")[0].as_py(), 0
+                tokens, ids, starts = tokens[:0], [], starts[:0]
+            coded = tokenizer.encode(piece.column("text").to_pylist())
+            sizes = np.fromiter((len(x) + 1 for x in coded), np.int64, len(coded))
+            fresh = np.full(int(sizes.sum()), tokenizer.end, tokenizer.dtype)
+            ends = np.cumsum(sizes)
+            for x, e in zip(coded, ends, strict=True):
+                fresh[e - 1 - len(x) : e - 1] = x
+            starts = np.concatenate((starts, len(tokens) + ends - sizes))
+            ids += piece.column("doc_id").to_pylist()
+            tokens = np.concatenate((tokens, fresh))
+            whole = len(tokens) // length * length
+            if whole:
+                yield emit(tokens[:whole], len(tokens))
+                number += whole // length
+                first = int(np.searchsorted(np.append(starts[1:], len(tokens)), whole, side="right"))
+                tokens, ids, starts = tokens[whole:], ids[first:], starts[first:] - whole
         if len(tokens):
-            yield emit(np.pad(tokens, (0, length - len(tokens)), constant_values=tokenizer.end), len(tokens))
+            yield last()
+
+    def of_one_part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        starts, lengths = common.runs_of(batch.column("part").to_numpy())
+        for start, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            yield batch.slice(start, n)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "part long, seq long, n_tokens int, doc_ids array<long>, doc_starts array<int>, tokens binary")
+    return grouped(docs).mapInArrow(run, "part long, seq long, n_tokens int, doc_ids array<long>, doc_starts array<int>, tokens binary")
 
 
 def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """Token sequences of docs (doc_id, text): slot, shard, row, sequence_id, n_tokens, doc_ids, doc_starts, tokens.
 
-    tokens: length token ids, little-endian, two bytes each for vocabularies of up to 65,536, four for larger ones. n_tokens of them are real; a
-    scan partition's last sequence ends in fillers. doc_ids: the documents that a sequence has tokens of, and doc_starts where each begins in it (0 if it began
-    before). sequence_id counts sequences in reading order; slot is its image under a keyed permutation of 0 .. n - 1, so that reading slots in turn is
+    tokens: length token ids, little-endian, two bytes each for vocabularies of up to 65,536, four for larger ones. n_tokens of them are real; the last
+    sequence of a group of documents, see grouped(), ends in fillers. doc_ids: the documents that a sequence has tokens of, and doc_starts where each begins in it (0 if it began
+    before). sequence_id counts sequences in the order of the groups, the same whatever files and splits the rows come from; slot is its image under a keyed permutation of 0 .. n - 1, so that reading slots in turn is
     reading in random order, and a reader that stopped at a slot goes on at slot + 1. shard is slot // shard and row slot % shard.
-    A partition of the result holds whole shards, sorted by slot: ranges of slots, known without sampling as slots are dense.
+    Partitions of the result are ranges of slots, whole shards each, sorted by slot, one after another: written as they are, they are read in order.
 
     Nulls: a null or empty text is one end; a null doc_id is a null among doc_ids. Repeated rows are each encoded. An empty table gives an
-    empty result. Other columns of docs are ignored. What the vocabulary calls special is ordinary text in documents.
+    empty result. Very long texts run over as many sequences as they need. Other columns of docs are ignored. What the vocabulary calls special is ordinary text in documents.
     """
     cut = common.materialise(sequences(docs, vocabulary, length), "sequences")
-    counts = sorted(tuple(r) for r in cut.groupBy("part").count().collect())  # a number for each scan partition
+    counts = sorted(tuple(r) for r in cut.groupBy("part").count().collect())  # a number for each group
     parts = np.array([p for p, _ in counts], np.int64)
     before = np.concatenate(([0], np.cumsum([n for _, n in counts])))
     total = int(before[-1])
@@ -174,7 +197,7 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
 
     placed = cut.withColumn("sequence_id", sequence_id("part", "seq")).withColumn("slot", slot("sequence_id"))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("row", F.col("slot") % shard)
-    out = placed.repartition("shard").sortWithinPartitions("slot")
+    out = placed.repartitionByRange(min(PARTS, max(1, -(-total // shard))), "shard").sortWithinPartitions("slot")
     return out.select("slot", "shard", "row", "sequence_id", "n_tokens", "doc_ids", "doc_starts", "tokens")
 
 

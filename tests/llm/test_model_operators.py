@@ -141,6 +141,41 @@ def test_op9_label_model_finds_accuracies():
     assert quality_classifier.label_model(np.full((4, 2), quality_classifier.NO_VOTE)).shape == (4,)
 
 
+def test_op9_label_model_against_brute_force():
+    """Expectation and maximisation by loops."""
+    rng = np.random.default_rng(6)
+    votes = rng.integers(0, 3, (60, 4))
+    q = [(2 * sum(v == 1 for v in r) + 0.1) / (2 * sum(v == 1 for v in r) + sum(v == 0 for v in r) + 1) for r in votes]
+    for _ in range(50):
+        out = []
+        odds = {}
+        for c in (0, 1):
+            w = [x if c else 1 - x for x in q]
+            for j in range(4):
+                cast = [sum(w[i] for i in range(60) if votes[i][j] == v) + 0.5 for v in (0, 1)]
+                odds[c, j] = [x / sum(cast) for x in cast]
+            odds[c] = (sum(w) + 1) / 62
+        for r in votes:
+            p = [odds[c] * math.prod(odds[c, j][v] for j, v in enumerate(r) if v < 2) for c in (0, 1)]
+            out.append(p[1] / sum(p))
+        q = out
+    assert quality_classifier.label_model(votes) == pytest.approx(q, abs=1e-9)
+
+
+def test_op9_scorer_against_brute_force():
+    """A score is the logistic of the summed weights of the places that a text has."""
+    text = ["good words here and there", "BAD | | ||| idle idle idle", "more good words"] * 30
+    scorer = quality_classifier.fit(pa.array(text), np.array([1.0, 0.0, 1.0] * 30), np.array([0.0, 1.0, 0.0] * 30))
+    s = quality_classifier.shapes(pa.array(text[:3]))
+    f = quality_classifier.features(pa.array(text[:3]), s)
+    got = scorer(pa.array(text[:3]))
+    for i in range(3):
+        for k in (0, 1):
+            z = sum(float(scorer.weights[k][p]) for t, p in zip(f.text, f.place) if t == i) + scorer.intercepts[k]
+            assert got[i, k] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+    assert got[1].max() > 0.7 and got[0].max() < 0.3
+
+
 def test_op9_finds_what_reviewers_reject(spark, sf_dir):
     got = quality_classifier.op9_quality_classifier(spark, sf_dir).join(common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"), F.col("toxic").alias("t")), "doc_id")
     keep = got.withColumn("k", F.col("keep").cast("int"))
@@ -200,8 +235,66 @@ def test_op2_odd_rows(spark):
 
 
 def test_op2_copies_follow_rates(spark, sf_dir):
-    r = mixing.op2_mixing(spark, sf_dir).agg(F.sum("rate"), F.sum("copies"), F.max(F.abs(F.col("rate") - F.col("copies")))).first()
-    assert r[1] == pytest.approx(r[0], rel=0.15) and r[2] < 1
+    r = mixing.op2_mixing(spark, sf_dir).agg(F.sum("rate"), F.sum("copies"), F.max(F.abs(F.col("rate") - F.col("copies"))), F.count("*")).first()
+    # each document is rounded by its own chance: the sum is within four standard deviations
+    assert abs(r[1] - r[0]) <= 4 * math.sqrt(r[3]) / 2 and r[2] < 1
+
+
+def test_op2_words_are_words(spark):
+    rows = [(1, "a  b"), (2, "   "), (3, "\t x\ny  z "), (4, None), (5, "é ß")]
+    got = mixing.mixing_rates(documents(spark, rows), spark.createDataFrame([], "doc_id long, domain string"), mixing.TARGETS)
+    assert {r.doc_id: r.tokens for r in got.collect()} == {1: 2, 2: 0, 3: 3, 4: 0, 5: 2}
+
+
+def test_op2_posteriors_against_brute_force(spark, sf_dir):
+    docs, labels = common.table(spark, sf_dir, "documents"), mixing.quality_domains(common.table(spark, sf_dir, "labels"))
+    domains = list(mixing.TARGETS)
+    rows = {r.doc_id: r for r in mixing.features(docs.select("doc_id", "text")).collect()}
+    known = {r.doc_id: r.domain for r in labels.collect() if r.doc_id in rows}
+    total = {d: sum(x == d for x in known.values()) for d in domains}
+    edges = {f: sorted(set(np.quantile([rows[i][f"__{f}"] for i in known], [k / 8 for k in range(1, 8)]))) for f in mixing.FIGURES}
+    at = lambda f, r: int(np.searchsorted(edges[f], r[f"__{f}"] + 1e-12, side="right"))
+    bins = {(d, f, at(f, rows[i])): 0 for i, d in known.items() for f in mixing.FIGURES}
+    has = {}
+    for i, d in known.items():
+        for f in mixing.FIGURES:
+            bins[d, f, at(f, rows[i])] += 1
+        for w in set(rows[i]["__words"]):
+            has.setdefault(w, dict.fromkeys(domains, 0))[d] += 1
+    n = sum(total.values())
+
+    top = max(domains, key=lambda d: total[d])
+    other = {w: sum(c for d, c in x.items() if d != top) for w, x in has.items()}
+    telling = sorted((w for w, x in has.items() if sum(x.values()) >= mixing.LEAST and 2 * other[w] >= sum(x.values())), key=lambda w: (-other[w], w))[: mixing.TELLING]
+    assert telling
+    got = mixing.op2_mixing(spark, sf_dir).collect()
+    for r in got[:60]:
+        x, logs = rows[r.doc_id], []
+        for d in domains:
+            log = math.log((total[d] + 1) / (n + 4))
+            for f in mixing.FIGURES:
+                log += math.log((bins.get((d, f, at(f, x)), 0) + 0.5) / (total[d] + 0.5 * (len(edges[f]) + 1)))
+            for w in telling:
+                p = (has[w][d] + 0.5) / (total[d] + 1)
+                log += math.log(p if w in x["__words"] else 1 - p)
+            logs.append(log)
+        p = np.exp(np.array(logs) - max(logs))
+        p = np.floor(100 * p / p.sum() + 0.5)
+        assert r.posterior == pytest.approx(list(p / p.sum()), abs=0.011)
+
+
+def test_op2_meets_its_targets(spark, sf_dir):
+    rows = mixing.op2_mixing(spark, sf_dir).collect()
+    tokens = sum(r.tokens for r in rows)
+    for k, share in enumerate(mixing.TARGETS.values()):
+        assert sum(r.rate * r.tokens * r.posterior[k] for r in rows) / tokens == pytest.approx(share, abs=0.01)
+
+
+def test_op2_mixes_without_a_join(spark, sf_dir):
+    docs, labels = common.table(spark, sf_dir, "documents"), mixing.quality_domains(common.table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, labels, mixing.TARGETS)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and mixed.columns == docs.columns
 
 
 def brute(rows, k):

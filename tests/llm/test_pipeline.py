@@ -2,10 +2,13 @@
 
 import collections
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quernstone.llm import common
 
-from .fixture import words
+from .fixture import documents, empty, words
 
 
 def test_stages(spark, sf_dir):
@@ -29,6 +32,20 @@ def test_stages(spark, sf_dir):
     assert {i for r in rows for i in r.doc_ids} == mixed.keys()
 
 
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_stages_stand_odd_rows_and_empty_tables(spark, sf_dir, which):
+    """Nulls, repeated rows, long and empty texts, and columns with every name that a stage might use itself."""
+    given = documents(spark).withColumns({c: F.lit(7) for c in ("bad_form", "toxic", "copies", "rate", "unit", "part", "h", "start")})
+    docs = common.materialise(given if which == "odd" else empty(spark), "odd-docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.materialise(stage(spark, docs, sf_dir), f"odd-{name}")
+        assert out.columns == docs.columns and (out.count() <= docs.count() or name == "mixing")
+        if which == "odd":
+            assert out.where("toxic <> 7 or bad_form <> 7 or x is null").count() == 0
+        out.collect()
+    assert (corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0) == (which == "odd")
+
+
 def test_registered():
     import __spark_entry__ as e
 

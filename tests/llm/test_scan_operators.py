@@ -394,6 +394,46 @@ def test_op8_other_vocabularies(spark, name):
     assert {x.strip() for x in decoded(rows, tokenizer)} == {"the cat", "", "<|endoftext|> a"}
 
 
+def test_op8_is_the_same_however_rows_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_shards.grouped, "__defaults__", (1 << 13,))
+    docs = documents(spark)
+    docs.repartition(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(7, "doc_id").write.parquet(f"{tmp_path}/many")
+    seen = []
+    for path in ("one", "many"):
+        ordered = token_shards.training_order(spark.read.parquet(f"{tmp_path}/{path}"), length=64, shard=32)
+        seen.append(sorted((r.slot, r.sequence_id, r.n_tokens, tuple(r.doc_ids), bytes(r.tokens)) for r in ordered.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) > 100
+
+
+def test_op8_partitions_are_ranges_of_slots(spark):
+    ordered = token_shards.training_order(documents(spark), length=16, shard=32)
+    rows = ordered.select("slot", "shard", F.spark_partition_id().alias("p")).collect()
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows)  # partition after partition
+    assert len({r.p for r in rows}) > 4 and len({(r.p, r.shard) for r in rows}) == len({r.shard for r in rows})
+
+
+def test_shared_folder_and_forgetting(spark, tmp_path, monkeypatch):
+    kept = common.materialise(spark.range(3), "kept")
+    other = f"{common.shared_folder(spark)}/quernstone/another-application/x"
+    spark.range(2).write.mode("overwrite").parquet(other)
+    assert kept.count() == 3
+    common.forget(spark)
+    with pytest.raises(Exception, match="not.?exist|No such file|FILE_NOT_EXIST"):
+        kept.collect()
+    assert spark.read.parquet(other).count() == 2
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://elsewhere:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_folder(Cluster)
+
+
 def test_op8_shards_resume(spark, tmp_path):
     ordered = token_shards.training_order(documents(spark), length=16, shard=32)
     token_shards.write_shards(ordered, f"{tmp_path}/shards")

@@ -201,7 +201,7 @@ def test_blocks_of_another_order_fail(spark):
     docs = documents(spark, [(1, "a b"), (2, "c d")]).coalesce(1).select("doc_id", "text")
     packed = blocks.blocks_of(docs)
     turned = packed.withColumn("payload", F.when(F.rand() < 2, F.col("payload")))
-    ok = blocks.exchange(turned, lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long")
+    ok = blocks.exchange(turned, lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long", 4)
     assert ok.count() == 2
 
     def other(batches):
@@ -210,7 +210,7 @@ def test_blocks_of_another_order_fail(spark):
         for b in batches:
             yield b.set_column(1, "payload", pa.array([blocks._freeze([pa.record_batch([pa.array([os.getpid()]), pa.array([os.urandom(4).hex()])], ["doc_id", "text"])]) for _ in range(b.num_rows)]))
 
-    bad = blocks.exchange(packed.mapInArrow(other, "block long, payload binary"), lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long")
+    bad = blocks.exchange(packed.mapInArrow(other, "block long, payload binary"), lambda t: iter([(0, b"q")]), lambda q: q, lambda t, a: t.select(["doc_id"]), "doc_id long", 4)
     with pytest.raises(Exception, match="another order"):
         bad.count()
 
