@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import common, decontamination, mixing, quality_classifier, simhash_dedup, token_shards
 
-#: Shares of the mix's tokens by domain, and the mix's tokens as a multiple of its input's. What has come so far is clean: no rate is to be below 1.
-MIX, GROWTH = {"q1t0": 0.98, "q1t1": 0.01, "q0t0": 0.007, "q0t1": 0.003}, 1.15
+#: Shares of the mix's tokens by domain, the mix's tokens as a multiple of its input's, and the smallest rate. What has come so far has passed the quality
+#: classifier: to reach the shares by dropping what looks like another domain would drop clean documents too, so the mix only adds copies.
+MIX, GROWTH, LEAST = {"q1t0": 0.98, "q1t1": 0.01, "q0t0": 0.007, "q0t1": 0.003}, 1.15, 1.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     common.small_batches(spark)
-    return quality_classifier.classify(docs, common.table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality_classifier.good_ones(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say. The classifier learns from the labelled ones among all documents, as those kept are nearly all of one domain."""
     labels = mixing.quality_domains(common.table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels, MIX, GROWTH, common.table(spark, sf_dir, "documents"), 1.0)
+    return mixing.mix(docs, labels, MIX, GROWTH, common.table(spark, sf_dir, "documents"), LEAST)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
