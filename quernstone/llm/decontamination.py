@@ -12,10 +12,10 @@ from . import common
 
 #: Words a shingle, least similarity.
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints that differ in RADIUS bits or fewer differ in RADIUS // BLOCKS or fewer in one of BLOCKS blocks of 64 / BLOCKS bits.
-RADIUS, BLOCKS = 19, 4
+#: Of BLOCKS blocks of a fingerprint one at least differs in a BLOCKS-th of RADIUS bits or fewer, if all differ in RADIUS or fewer.
+RADIUS, BLOCKS = 19, 5
 #: Benchmark shingles are marked in a bitmap of at most this many longs; index rows are broadcast only up to this number, else shuffled.
-BITMAP_LONGS, BROADCAST_ROWS = 1 << 18, 1 << 21
+BITMAP_LONGS, BROADCAST_ROWS = 1 << 18, 1 << 19
 #: Starts of windows that one row holds at most.
 STARTS = 2048
 
@@ -108,14 +108,15 @@ def _masks(bits: int, most: int) -> list[int]:
 
 def _places() -> list[tuple[int, int, int]]:
     """Lowest bit, width and most differing bits of each block: with all of them exceeded, more than RADIUS bits differ."""
-    width, more = 64 // BLOCKS, (RADIUS + 1) % BLOCKS
-    return [(b * width, width, (RADIUS + 1) // BLOCKS - 1 + (b < more)) for b in range(BLOCKS)]
+    ends = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    more = (RADIUS + 1) % BLOCKS
+    return [(ends[b], ends[b + 1] - ends[b], (RADIUS + 1) // BLOCKS - 1 + (b < more)) for b in range(BLOCKS)]
 
 
 def _block_key(fp: Column, size: Column, b: int) -> Column:
     low, width, _ = _places()[b]
     value = F.shiftrightunsigned(fp, low).bitwiseAND(_long((1 << width) - 1))
-    return (size.cast("long") * BLOCKS + b) * (1 << width) + value
+    return (size.cast("long") * 8 + b) * (1 << 16) + value  # blocks are up to eight, of sixteen bits at most
 
 
 def window_keys(fp: Column, size: Column) -> Column:
@@ -137,7 +138,7 @@ def _met_first(fp: Column, item_fp: Column, key: Column) -> Column:
     differ = fp.bitwiseXOR(item_fp)
     near = [F.bit_count(F.shiftrightunsigned(differ, low).bitwiseAND(_long((1 << width) - 1))) <= most for low, width, most in _places()]
     first = reduce(lambda other, b: F.when(near[b], F.lit(b)).otherwise(other), reversed(range(BLOCKS)), F.lit(-1))
-    return F.shiftrightunsigned(key, 64 // BLOCKS).bitwiseAND(F.lit(BLOCKS - 1).cast("long")) == first
+    return F.shiftrightunsigned(key, 16).bitwiseAND(F.lit(7).cast("long")) == first
 
 
 # ---- exact similarity ------------------------------------------------------------------------------------------------
@@ -292,7 +293,7 @@ def _matched(regional: DataFrame, items: DataFrame, width: int, sizes: list[int]
     index = index_rows(prints)
     near = keyed.join(hint(index), keyed["wkey"] == index["key"]).where((F.bit_count(F.col("wfp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & _met_first(F.col("wfp"), F.col("item_fp"), F.col("wkey")))
     near = near.select("doc_id", keyed["key"], "m", "item_fp", (F.col("lo") + F.col("at")).alias("start"), F.slice("hashes", F.col("at") + 1, F.col("span")).alias("window"))
-    small = own.count() <= BROADCAST_ROWS >> 8 and max(sizes) <= 1 << 10
+    small = own.count() <= BROADCAST_ROWS >> 6 and max(sizes) <= 1 << 10
     full = own.select("item_id", F.col("m").alias("m_"), F.col("fp").alias("fp_"), "item")
     pairs = near.join(F.broadcast(full) if small else full, (F.col("m") == F.col("m_")) & (F.col("item_fp") == F.col("fp_")))
     scored = pairs.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
@@ -316,7 +317,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks the shingles that any item has and keeps, for each item size, the windows with as many marks as that similarity needs; this loses none, and
     no other text leaves the pass. Every such window, in whatever order its words stand, is fingerprinted as it slides, and the multi-index finds all item
     fingerprints of its size within RADIUS bits: of BLOCKS blocks one then differs in few bits, and the index holds all such values, so that a lookup is
-    an equality of sixteen bits. What it finds is compared exactly. A pair that is similar enough but differs in more bits is not found: at a similarity of 0.8 about ten
+    an equality of a block. What it finds is compared exactly. A pair that is similar enough but differs in more bits is not found: at a similarity of 0.8 about ten
     bits of 64 are to be expected, with a standard deviation below three.
 
     Nulls: a null text has no words and no window; a null item text, or one without words, is no item; a null doc_id or item_id stays null.
