@@ -17,7 +17,7 @@ from . import common
 TARGETS = {"q1t0": 0.90, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
 #: Figures of a text, and the bins that each is put into: quantiles of the labelled rows. Words are hashed to 2^HASH_BITS places; a place is telling if LEAST
 #: labelled rows or more have it and half of them or more are not of the most frequent domain; TELLING places at most, those of most such rows.
-FIGURES, BINS, HASH_BITS, LEAST, TELLING = ("marks", "bars", "capitals", "variety", "length"), 8, 18, 5, 512
+FIGURES, BINS, HASH_BITS, LEAST, TELLING = ("marks", "bars", "capitals", "variety", "length"), 8, 16, 5, 512
 #: Bound of the labelled rows that the classifier is fitted to, and the steps of a posterior: documents of one rounded posterior are of one class, so that there
 #: are no more than (GRID + 3)! / (GRID! 3!) of four domains, however many documents.
 SAMPLE, GRID = 6000, 100
@@ -131,7 +131,7 @@ def _rate(posterior: Column, history: list[list[float]], step: float, least: flo
     or more. ahead: the point that so much momentum leads on to."""
     if not history:
         return F.lit(1.0)
-    past = F.array(*[F.struct(F.lit(h[0]).alias("m"), F.array(*map(F.lit, h[1:])).alias("h")) for h in history])
+    past = common.literal([{"m": h[0], "h": h[1:]} for h in history], "array<struct<m:double,h:array<double>>>")
 
     def moved(s: Column, x: Column) -> Column:
         at = lambda y: F.greatest(F.lit(least), y - step * (_dot(posterior, x.h) + PULL * (y - 1)))
@@ -159,8 +159,8 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], total: float, least
     for _ in range(STEPS):
         faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
         momentum, speed = (speed - 1) / faster, faster
-        rate = _rate(F.col("p"), history, step, least, momentum)
-        now = classes.agg(*[F.coalesce(F.sum(F.col("tokens") * rate * F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in k]).first()
+        rated = classes.select("p", (F.col("tokens") * _rate(F.col("p"), history, step, least, momentum)).alias("t"))
+        now = rated.agg(*[F.coalesce(F.sum(F.col("t") * F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in k]).first()
         history.append([momentum, *((now[i] - goal[i]) * weight[i] for i in k)])
         if max(abs(now[i] - goal[i]) for i in k) <= 1e-4 * total or len(history) > 2 and np.abs(np.diff(history[-3:], axis=0)[:, 1:]).max() <= 1e-6:
             break

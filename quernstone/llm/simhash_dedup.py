@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +64,21 @@ def _once(hashes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(t[new], minlength=len(per))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long. No words: zero. repeats: whether repeated shingles count again."""
+def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True, sketched: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long. No words: zero. repeats: whether repeated shingles count again. sketched: also
+    n, low and high of Sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 hashes = shingle_hashes(part.column("text"), width)
                 fp = fingerprint(*(hashes if repeats else _once(*hashes)))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+                more = dict(zip(("n", "low", "high"), (pa.array(x.astype(np.int64) if x.dtype != np.uint64 else np.ascontiguousarray(x).view(np.int64)) for x in sketches(part.column("text"))))) if sketched else {}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64)), **more})
 
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common.ship(docs.sparkSession)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{', n long, low long, high long' if sketched else ''}")
 
 
 def variants(fp: Column, radius: int) -> tuple[Column, int]:
@@ -104,7 +107,46 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Sketches:
+    """Of each text the number of its different five-word shingles, and of each of 128 classes of them whether their number is odd. A shingle that one of two texts
+    has alone changes one class, so these differ in no more classes than there are such shingles: texts that differ in too many are not similar."""
+
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    similarity: float
+
+    def __getitem__(self, at) -> Sketches:
+        return Sketches(self.n[at], self.low[at], self.high[at], self.similarity)
+
+    def apart(self, a, b) -> np.ndarray:
+        """Whether a pair is less similar for certain. Of texts with x and y shingles and a similarity of s, (x + y)(1 - s) / (1 + s) are one text's alone at most."""
+        alone = (self.n[a] + self.n[b]) * (1 - self.similarity) / (1 + self.similarity) + 1e-9
+        odd = np.bitwise_count(self.low[a] ^ self.low[b]).astype(np.int64) + np.bitwise_count(self.high[a] ^ self.high[b])
+        return (odd > alone) | (np.abs(self.n[a] - self.n[b]) > alone)
+
+
+def sketches(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, low and high of Sketches. Fewer words than width are one shingle, as in runs()."""
+    words = common.words_of(texts, lower=True)
+    codes, vocabulary = words.coded()
+    hashes = common.hash_values(vocabulary, SEED)[codes] if len(codes) else np.empty(0, np.uint64)
+    n, starts = words.counts, words.starts
+    per = np.where(n >= width, n - width + 1, 1)
+    first = np.repeat(starts, per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    own, out = np.repeat(np.minimum(n, width), per), np.zeros(len(first), np.uint64)
+    for k in range(width):
+        held = k < own
+        out[held] = common.mix(out[held] * np.uint64(0x9E3779B97F4A7C15) + hashes[first[held] + k] + np.uint64(1))
+    h, count = _once(out, per)
+    text = np.repeat(np.arange(len(count)), count)
+    marks = np.zeros((len(count), 2), np.uint64)
+    np.bitwise_xor.at(marks, (text, (h >> np.uint64(6) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
+    return count, marks[:, 0], marks[:, 1]
+
+
+def _forest(fp: np.ndarray, radius: int, sketch: Sketches | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links that span the components of a run: each component takes its closest link outwards until there is none (Boruvka). Also the number of
     links that each member has in all. Memory is one strip of comparisons."""
     n = len(fp)
@@ -114,6 +156,8 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
         gap, to, met = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
         for at in range(0, n, strip):
             d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :]).astype(np.int64)
+            if sketch:
+                d[sketch.apart(np.arange(at, min(n, at + strip))[:, None], np.arange(n)[None, :])] = 99
             if degree is None:
                 met[at : at + strip] = (d <= radius).sum(1) - 1
             d[label[at : at + strip, None] == label[None, :]] = 99
@@ -134,7 +178,7 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(a) if a else none, np.concatenate(b) if b else none, degree
 
 
-def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int, sketch: Sketches | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each member of a run the closest links, most of them, to members with another root; and the members with links that this leaves out."""
     n = len(fp)
     strip = max(1, (1 << 20) // n)
@@ -142,6 +186,9 @@ def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int) -> tuple[
     for at in range(0, n, strip):
         d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :])
         x, y = np.nonzero((d <= radius) & (root[at : at + strip, None] != root[None, :]))
+        if sketch:
+            able = ~sketch.apart(at + x, y)
+            x, y = x[able], y[able]
         order = np.lexsort((d[x, y], x))
         x, y = x[order], y[order]
         starts, lengths = common.runs_of(x)
@@ -165,7 +212,7 @@ def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int)
     return _links_and_rest(fp, starts, lengths, radius)[:2]
 
 
-def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int, sketch: Sketches | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_links() and the places in fp of the members of those runs that have more links than these."""
     a, b, rest = [fp[:0]], [fp[:0]], [np.empty(0, np.int64)]
     short = lengths <= 8
@@ -175,13 +222,15 @@ def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rad
             has = n > k + gap
             x, y = fp[s[has] + k], fp[s[has] + k + gap]
             ok = _near(x, y, radius)
+            if sketch:
+                ok &= ~sketch.apart(s[has] + k, s[has] + k + gap)
             a.append(x[ok])
             b.append(y[ok])
     for start, length in zip(starts[~short], lengths[~short], strict=True):
         run = fp[start : start + length]
         left = np.zeros(length, bool)
         for p in _parts(run, radius):
-            x, y, degree = _forest(run[p], radius)
+            x, y, degree = _forest(run[p], radius, sketch[start + p] if sketch else None)
             a.append(run[p][x])
             b.append(run[p][y])
             if degree.sum() > 2 * len(x):
@@ -201,39 +250,43 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 def _signed_rows(distinct: DataFrame, radius: int) -> DataFrame:
     keys, _ = variants(F.col("fp"), radius)
-    return distinct.select("fp", F.explode(keys).alias("key"))
+    return distinct.select("*", F.explode(keys).alias("key"))
 
 
-def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True) -> DataFrame:
-    """(a, b, more) from rows (key, fp), each key's rows compared with each other. more is false: a link (a, b), as links() gives them; with rows (key, fp, root)
+def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True, similarity: float | None = None) -> DataFrame:
+    """(a, b, more) from rows (key, fp), each key's rows compared with each other; with similarity, rows also have n, low and high, and pairs that
+    their Sketches tell apart are no links. more is false: a link (a, b), as links() gives them; with rows (key, fp, root)
     and most, the closest links, most of them, of each row to rows with another root. more is true, only if rest: the row of key a and fingerprint b has links
     that are not among those given, or is in a run that has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+        names = ["key", "fp", "root" if most else "key", *(("n", "low", "high") if similarity is not None else ())]
+        held = [np.empty(0, np.int64) for _ in names]
         for batch in batches:
-            new = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "fp", "root" if most else "key")]
-            held = [np.concatenate(x) for x in zip(held, (new[0], new[1].view(np.uint64), new[2]), strict=True)]
+            held = [np.concatenate((x, batch.column(name).to_numpy(zero_copy_only=False))) for x, name in zip(held, names, strict=True)]
             last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last run may go on
             if last:
                 yield from linked(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
         yield from linked(*held)
 
-    def linked(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(key: np.ndarray, fp: np.ndarray, root: np.ndarray, *more_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fp = fp.view(np.uint64)
+        sketch = Sketches(more_of[0], more_of[1].view(np.uint64), more_of[2].view(np.uint64), similarity) if more_of else None
         starts, lengths = common.runs_of(key)
         several = lengths > 1
         starts, lengths = starts[several], lengths[several]
         if not most:
-            a, b, more = _links_and_rest(fp, starts, lengths, radius)
+            a, b, more = _links_and_rest(fp, starts, lengths, radius, sketch)
             yield from batch_of(a, b, key, fp, more)
             return
         for start, length in zip(starts, lengths, strict=True):
             of_run = fp[start : start + length]
             for p in _parts(of_run, radius):
-                a, b, more = _between(of_run[p], root[start + p], radius, most)
+                mine = sketch[start + p] if sketch else None
+                a, b, more = _between(of_run[p], root[start + p], radius, most, mine)
                 # whatever a member that has more links may meet is needed again
-                more = p[np.unique(np.concatenate((more, np.flatnonzero(_near_any(of_run[p], of_run[p][more], radius)))))] if len(more) else more
+                more = p[np.unique(np.concatenate((more, np.flatnonzero(_near_any(of_run[p], more, radius, mine)))))] if len(more) else more
                 yield from batch_of(of_run[p][a], of_run[p][b], key, fp, start + more)
 
     def batch_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, fp: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -247,12 +300,15 @@ def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True) ->
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, more boolean")
 
 
-def _near_any(fp: np.ndarray, some: np.ndarray, radius: int) -> np.ndarray:
-    """Whether a fingerprint is near one of some."""
+def _near_any(fp: np.ndarray, some: np.ndarray, radius: int, sketch: Sketches | None = None) -> np.ndarray:
+    """Whether a fingerprint is near one of those at some places, and may be linked with it."""
     out = np.zeros(len(fp), bool)
     strip = max(1, (1 << 20) // max(1, len(fp)))
     for at in range(0, len(some), strip):
-        out |= _near(some[at : at + strip, None], fp[None, :], radius).any(0)
+        near = _near(fp[some[at : at + strip], None], fp[None, :], radius)
+        if sketch:
+            near &= ~sketch.apart(some[at : at + strip, None], np.arange(len(fp))[None, :])
+        out |= near.any(0)
     return out
 
 
@@ -263,7 +319,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
     FIRST of each fingerprint and run, then FIRST times as many, until no link that joins two components is left. So a group whose links hold
     takes about as many looks as it has members; only links that fail make it look at more, at all of them if need be.
     """
-    found = common.materialise(_compared(_signed_rows(nodes.select("fp"), radius), radius), "candidate-links")
+    kept = nodes.where(F.col("least").isNotNull()).select("fp", "n", "low", "high")
+    found = common.materialise(_compared(_signed_rows(kept, radius), radius, similarity=similarity), "candidate-links")
     good = tried = None
     most = FIRST
     while True:
@@ -274,8 +331,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
         rest = found.where("more").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
         if rest.isEmpty():
             return good
-        rooted = rest.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        found = common.materialise(_compared(rooted, radius, most), "candidate-links")
+        rooted = rest.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").join(kept, "fp").select("key", "fp", F.coalesce("root", "fp").alias("root"), "n", "low", "high")
+        found = common.materialise(_compared(rooted, radius, most, similarity=similarity), "candidate-links")
         most *= FIRST
 
 
@@ -314,8 +371,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
     Equal fingerprints are one node, so groups of copies cost nothing; no pairs of documents are formed. A signature has 64 / (radius // 2 + 1) - 1
     bits: with radius 3 these tell billions of texts apart, with radius 7 thousands, so that the comparisons of a large corpus grow with its square.
     """
-    prints = common.materialise(fingerprints(docs, width, repeats), "fingerprints")
-    nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    sketched = similarity is not None
+    prints = common.materialise(fingerprints(docs, width, repeats, sketched), "fingerprints")
+    least = F.min("doc_id").alias("least")
+    own = [F.min_by(F.struct("n", "low", "high"), F.col("doc_id")).alias("__s")] if sketched else []
+    nodes = prints.groupBy("fp").agg(least, *own)
+    nodes = common.materialise(nodes.select("fp", "least", "__s.*") if sketched else nodes, "nodes")
     edges = links(nodes.select("fp"), radius) if similarity is None else similar_links(docs, nodes, radius, similarity)
     found = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

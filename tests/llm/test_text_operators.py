@@ -215,6 +215,26 @@ def test_blocks_of_another_order_fail(spark):
         bad.count()
 
 
+def test_sketches_never_part_similar_texts():
+    rng = np.random.default_rng(13)
+    texts = []
+    for length in (3, 8, 40, 120, 600):
+        base = [f"w{rng.integers(900)}" for _ in range(length)]
+        for k in range(40):
+            w = list(base)
+            for at in rng.choice(length, min(length, int(rng.integers(0, 1 + length // 8))), replace=False):
+                w[at] = f"x{rng.integers(900)}"
+            texts.append(" ".join(w[: length - int(rng.integers(0, 1 + length // 9))]))
+    n, low, high = simhash_dedup.sketches(pa.array(texts))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    assert n.tolist() == list(map(len, sets))
+    s = simhash_dedup.Sketches(n.astype(np.int64), low, high, 0.8)
+    apart = s.apart(np.arange(len(n))[:, None], np.arange(len(n))[None, :])
+    similar = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    assert not (apart & similar).any()
+    assert apart[~similar].mean() > 0.8 and similar.sum() > 500
+
+
 @pytest.mark.parametrize("first", [8, 2])
 def test_similar_links_of_a_group_of_near_copies_are_those_of_brute_force(spark, first, monkeypatch):
     """A link that fails must not cut off fingerprints that other links of a long run connect."""
