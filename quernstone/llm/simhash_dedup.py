@@ -213,7 +213,7 @@ def _links(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int)
 
 
 def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int, sketch: Sketches | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_links() and the places in fp of the members of those runs that have more links than these."""
+    """_links() and the numbers of those runs that have more links than these."""
     a, b, rest = [fp[:0]], [fp[:0]], [np.empty(0, np.int64)]
     short = lengths <= 8
     s, n = starts[short], lengths[short]
@@ -226,16 +226,16 @@ def _links_and_rest(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rad
                 ok &= ~sketch.apart(s[has] + k, s[has] + k + gap)
             a.append(x[ok])
             b.append(y[ok])
-    for start, length in zip(starts[~short], lengths[~short], strict=True):
+    for number, start, length in zip(np.flatnonzero(~short), starts[~short], lengths[~short], strict=True):
         run = fp[start : start + length]
-        left = np.zeros(length, bool)
+        left = False
         for p in _parts(run, radius):
             x, y, degree = _forest(run[p], radius, sketch[start + p] if sketch else None)
             a.append(run[p][x])
             b.append(run[p][y])
-            if degree.sum() > 2 * len(x):
-                left[p[degree > 0]] = True
-        rest.append(start + np.flatnonzero(left))
+            left |= bool(degree.sum() > 2 * len(x))
+        if left:
+            rest.append(np.array([number]))
     return np.concatenate(a), np.concatenate(b), np.concatenate(rest)
 
 
@@ -256,8 +256,8 @@ def _signed_rows(distinct: DataFrame, radius: int) -> DataFrame:
 def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True, similarity: float | None = None) -> DataFrame:
     """(a, b, more) from rows (key, fp), each key's rows compared with each other; with similarity, rows also have n, low and high, and pairs that
     their Sketches tell apart are no links. more is false: a link (a, b), as links() gives them; with rows (key, fp, root)
-    and most, the closest links, most of them, of each row to rows with another root. more is true, only if rest: the row of key a and fingerprint b has links
-    that are not among those given, or is in a run that has."""
+    and most, the closest links, most of them, of each row to rows with another root. more is true, only if rest: the run of key a has links that are not
+    among those given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "fp", "root" if most else "key", *(("n", "low", "high") if similarity is not None else ())]
@@ -278,40 +278,29 @@ def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True, si
         starts, lengths = starts[several], lengths[several]
         if not most:
             a, b, more = _links_and_rest(fp, starts, lengths, radius, sketch)
-            yield from batch_of(a, b, key, fp, more)
+            yield from batch_of(a, b, key[starts[more]])
             return
         for start, length in zip(starts, lengths, strict=True):
-            of_run = fp[start : start + length]
+            of_run, left, links = fp[start : start + length], False, []
             for p in _parts(of_run, radius):
                 mine = sketch[start + p] if sketch else None
                 a, b, more = _between(of_run[p], root[start + p], radius, most, mine)
-                # whatever a member that has more links may meet is needed again
-                more = p[np.unique(np.concatenate((more, np.flatnonzero(_near_any(of_run[p], more, radius, mine)))))] if len(more) else more
-                yield from batch_of(of_run[p][a], of_run[p][b], key, fp, start + more)
+                left |= len(more) > 0
+                links.append((of_run[p][a], of_run[p][b]))
+            if links:
+                yield from batch_of(*(np.concatenate(x) for x in zip(*links, strict=True)), key[start : start + left])
 
-    def batch_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, fp: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def batch_of(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1).view(np.int64)
         more = more if rest else more[:0]
         if pairs.shape[1] + len(more):
-            left, right = np.concatenate((pairs[0], key[more])), np.concatenate((pairs[1], fp[more].view(np.int64)))
+            left, right = np.concatenate((pairs[0], more)), np.concatenate((pairs[1], more))
             yield pa.RecordBatch.from_pydict({"a": pa.array(left), "b": pa.array(right), "more": pa.array(np.arange(len(left)) >= pairs.shape[1])})
 
     common.ship(rows.sparkSession)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, more boolean")
 
 
-def _near_any(fp: np.ndarray, some: np.ndarray, radius: int, sketch: Sketches | None = None) -> np.ndarray:
-    """Whether a fingerprint is near one of those at some places, and may be linked with it."""
-    out = np.zeros(len(fp), bool)
-    strip = max(1, (1 << 20) // max(1, len(fp)))
-    for at in range(0, len(some), strip):
-        near = _near(fp[some[at : at + strip], None], fp[None, :], radius)
-        if sketch:
-            near &= ~sketch.apart(some[at : at + strip, None], np.arange(len(fp))[None, :])
-        out |= near.any(0)
-    return out
-
-
 def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Edges (a, b) that connect just those fingerprints of nodes (fp, least) which chains of links connect that verified() holds for.
 
@@ -328,10 +317,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
         fresh = common.materialise(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh-links")
         held = common.materialise(verified(fresh, docs, nodes, similarity), "similar-links")
         good, tried = (held, fresh) if good is None else (good.union(held), tried.union(fresh))
-        rest = found.where("more").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
+        rest = found.where("more").select(F.col("a").alias("key")).distinct()
         if rest.isEmpty():
             return good
-        rooted = rest.join(components(good).select(F.col("node").alias("fp"), "root"), "fp", "left").join(kept, "fp").select("key", "fp", F.coalesce("root", "fp").alias("root"), "n", "low", "high")
+        roots = components(good).select(F.col("node").alias("fp"), "root")
+        rooted = kept.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "low", "high")
+        rooted = _signed_rows(rooted, radius).join(rest, "key", "left_semi")
         found = common.materialise(_compared(rooted, radius, most, similarity=similarity), "candidate-links")
         most *= FIRST
 
