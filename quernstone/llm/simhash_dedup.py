@@ -107,6 +107,18 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
+def first_shared(x: np.ndarray, radius: int) -> np.ndarray:
+    """Of fingerprints that differ in the bits x, the place among variants() of the first signature that they share; 64 if they share none."""
+    segments = radius // 2 + 1
+    width, place = 64 // segments, np.full(len(x), 64, np.int64)
+    for s in reversed(range(segments)):
+        bits = width if s < segments - 1 else 64 - s * width
+        part = x >> np.uint64(s * width) & np.uint64((1 << bits) - 1)
+        ones = np.bitwise_count(part)
+        place = np.where(ones == 0, s * width, np.where(ones == 1, s * width + np.bitwise_count(part - np.uint64(1)).astype(np.int64), place))
+    return place
+
+
 @dataclass
 class Sketches:
     """Of each text the number of its different five-word shingles, and of each of 128 classes of them whether their number is odd. A shingle that one of two texts
@@ -178,14 +190,18 @@ def _forest(fp: np.ndarray, radius: int, sketch: Sketches | None = None) -> tupl
     return np.concatenate(a) if a else none, np.concatenate(b) if b else none, degree
 
 
-def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int, sketch: Sketches | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each member of a run the closest links, most of them, to members with another root; and the members with links that this leaves out."""
+def _between(fp: np.ndarray, root: np.ndarray, radius: int, most: int, sketch: Sketches | None = None, place: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member of a run the closest links, most of them, to members with another root; and the members with links that this leaves out. place: of the
+    run's signature, if known; pairs that share an earlier one are left to its run, so that no pair is given under all the signatures it shares."""
     n = len(fp)
     strip = max(1, (1 << 20) // n)
     a, b, more = [], [], []
     for at in range(0, n, strip):
         d = np.bitwise_count(fp[at : at + strip, None] ^ fp[None, :])
         x, y = np.nonzero((d <= radius) & (root[at : at + strip, None] != root[None, :]))
+        if place is not None:
+            own = first_shared(fp[at + x] ^ fp[y], radius) == place
+            x, y = x[own], y[own]
         if sketch:
             able = ~sketch.apart(at + x, y)
             x, y = x[able], y[able]
@@ -282,9 +298,10 @@ def _compared(rows: DataFrame, radius: int, most: int = 0, rest: bool = True, si
             return
         for start, length in zip(starts, lengths, strict=True):
             of_run, left, links = fp[start : start + length], False, []
+            place = int(key[start]) >> 56 & 255 if radius >= 2 else None  # with one segment a signature is a hash
             for p in _parts(of_run, radius):
                 mine = sketch[start + p] if sketch else None
-                a, b, more = _between(of_run[p], root[start + p], radius, most, mine)
+                a, b, more = _between(of_run[p], root[start + p], radius, most, mine, place)
                 left |= len(more) > 0
                 links.append((of_run[p][a], of_run[p][b]))
             if links:
@@ -317,7 +334,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
         fresh = common.materialise(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh-links")
         held = common.materialise(verified(fresh, docs, nodes, similarity), "similar-links")
         good, tried = (held, fresh) if good is None else (good.union(held), tried.union(fresh))
-        rest = found.where("more").select(F.col("a").alias("key")).distinct()
+        rest = common.materialise(found.where("more").select(F.col("a").alias("key")).distinct(), "long-runs")  # of known size, as in verified()
         if rest.isEmpty():
             return good
         roots = components(good).select(F.col("node").alias("fp"), "root")
@@ -330,7 +347,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
 def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """Those edges of which the texts of the least doc_ids have that Jaccard similarity of their sets of width-word shingles, or a larger one."""
     ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    wanted = nodes.join(ends, "fp").select("fp", F.col("least").alias("doc_id"))
+    wanted = common.materialise(nodes.join(ends, "fp").select("fp", F.col("least").alias("doc_id")), "wanted")  # of known size: few are broadcast, and no text is shuffled
     words = common.word_array(common.lower_az(F.col("text").cast("string")))
     sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("fp", F.array_distinct(runs(words, width)).alias("s"))
     sets = common.materialise(sets, "shingle-sets")

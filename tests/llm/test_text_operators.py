@@ -215,6 +215,19 @@ def test_blocks_of_another_order_fail(spark):
         bad.count()
 
 
+def test_a_pair_belongs_to_the_first_signature_that_it_shares(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    for radius in (2, 3, 4, 7):
+        near = base ^ np.array([sum(1 << int(k) for k in rng.choice(64, rng.integers(0, radius + 1), replace=False)) for _ in base], np.uint64)
+        rows = spark.createDataFrame([(int(x),) for x in np.concatenate((base, near)).view(np.int64)], "fp long")
+        keys = [r.k for r in rows.select(simhash_dedup.variants(F.col("fp"), radius)[0].alias("k")).collect()]
+        got = simhash_dedup.first_shared(base ^ near, radius)
+        for a, b, place in zip(keys[: len(base)], keys[len(base) :], got, strict=True):
+            shared = [k for k in a if k in b]
+            assert place == min(k >> 56 & 255 for k in shared) and len({k >> 56 & 255 for k in shared}) == len(shared)
+
+
 def test_sketches_never_part_similar_texts():
     rng = np.random.default_rng(13)
     texts = []
