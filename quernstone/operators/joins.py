@@ -18,6 +18,11 @@ def mark(probe: DataFrame, build: DataFrame, key: str, build_key: str, name: str
     return joined.withColumn(name, value).select(*probe.columns, name)
 
 
+def not_in(probe: DataFrame, build: DataFrame, key: str, build_key: str) -> DataFrame:
+    """Rows of probe for which `key NOT IN (build)` is true. Spark's own NOT IN sends all of build to the driver and to each task, however large; this shuffles it."""
+    return mark(probe, build, key, build_key, "__in").where(~F.col("__in")).drop("__in")
+
+
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equi-join on IS NOT DISTINCT FROM: it stays a hash or merge join."""
     on = None

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.engine import Engine
 from quernstone.functions import parity as P
-from quernstone.operators import ordering
+from quernstone.operators import joins, ordering
 from quernstone.session import table
 
 from .base import query, text
@@ -85,8 +86,16 @@ NULLED = """(SELECT l_orderkey, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_pa
 text("n01_null_groups", f"SELECT sk, count(*) AS n, count(q) AS c, round(sum(q), 2) AS s, round(avg(q), 6) AS a, min(q) AS lo, count(DISTINCT pk) AS p FROM {NULLED} GROUP BY sk")
 text("n02_null_keys_join", f"SELECT s_suppkey, count(pk) AS n FROM supplier LEFT JOIN {NULLED} ON sk = s_suppkey AND q > 10 GROUP BY s_suppkey")
 text("n03_null_filters", f"SELECT count(*) AS n FROM {NULLED} WHERE (q > 20 OR d IS NULL) AND NOT (sk < 50 AND q <= 30) AND coalesce(pk, 7) <> 7")
-text("n04_null_not_in", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT pk FROM {NULLED} WHERE q > 49 AND pk IS NOT NULL)")
-text("n05_null_not_in_null", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT pk FROM {NULLED})")
+
+
+for _name, _where in (("n04_null_not_in", " WHERE q > 49 AND pk IS NOT NULL"), ("n05_null_not_in_null", "")):
+
+    @query(_name, f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT pk FROM {NULLED}{_where})")
+    def _null_not_in(spark, sf_dir, where=_where):
+        keys = Engine(spark, sf_dir).sql(f"SELECT pk FROM {NULLED}{where}")
+        return joins.not_in(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey", "pk")
+
+
 text("n06_null_safe_self", f"SELECT count(*) AS n FROM (SELECT sk, count(*) AS n FROM {NULLED} GROUP BY sk) a JOIN (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT NULL) b ON a.sk IS NOT DISTINCT FROM b.k")
 text("n07_wide_decimals", f"SELECT pk % 10 AS k, CAST(sum(d * d) AS DECIMAL(38,4)) AS s, max(d) AS m FROM {NULLED} GROUP BY pk % 10")
 text("n08_large_integers", """SELECT k, CAST(sum(u) AS STRING) AS s, CAST(max(u) AS STRING) AS m FROM (SELECT o_orderkey % 3 AS k, CAST(18446744073709551615 AS DECIMAL(20,0)) - o_orderkey AS u FROM orders) t GROUP BY k""",

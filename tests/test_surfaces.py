@@ -327,3 +327,34 @@ def test_salted_and_range_joins_against_plain_ones(spark):
     got = joins.in_range(spark.range(40), r, "id", "lo", "hi", 4)
     want = spark.range(40).join(r, (F.col("id") >= F.col("lo")) & (F.col("id") < F.col("hi")))
     assert sorted(map(tuple, got.select("id", "lo").collect())) == sorted(map(tuple, want.select("id", "lo").collect()))
+
+
+@pytest.fixture
+def laid_out(spark):
+    """Sets the session's options for a test."""
+    before = {}
+
+    def put(**options):
+        for name, value in options.items():
+            name = f"spark.sql.{name.replace('_', '.')}"
+            before.setdefault(name, spark.conf.get(name))
+            spark.conf.set(name, value)
+
+    yield put
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name", ["n04_null_not_in", "n05_null_not_in_null"])
+def test_not_in_broadcasts_no_table(spark, sf_dir, laid_out, name):
+    from quernstone.plans import registry
+
+    laid_out(autoBroadcastJoinThreshold="-1")
+    assert "BroadcastHashJoin" not in plan(registry.QUERIES[name](spark, sf_dir))
+
+
+def test_not_in_is_three_valued(spark):
+    probe, build = (spark.createDataFrame([(x,) for x in rows], "x int") for rows in ([1, 2, None], [2, 3]))
+    assert [r.x for r in joins.not_in(probe, build, "x", "x").collect()] == [1]
+    assert joins.not_in(probe, build.union(spark.sql("SELECT CAST(NULL AS INT)")), "x", "x").collect() == []
+    assert {r.x for r in joins.not_in(probe, build.where("false"), "x", "x").collect()} == {1, 2, None}
