@@ -96,6 +96,11 @@ def count_tuples(*columns: Column) -> Column:
     return F.count_distinct(F.struct(*columns))
 
 
+def approximate_count(x: Column) -> Column:
+    """approx_count_distinct with a standard error of 2 %. Spark's own default of 5 % is off by more than a tenth for one set of values in twenty."""
+    return F.approx_count_distinct(x, 0.02)
+
+
 def starts_with(s: Column, prefix: str) -> Column:
     return s.startswith(prefix)
 

@@ -358,3 +358,10 @@ def test_not_in_is_three_valued(spark):
     assert [r.x for r in joins.not_in(probe, build, "x", "x").collect()] == [1]
     assert joins.not_in(probe, build.union(spark.sql("SELECT CAST(NULL AS INT)")), "x", "x").collect() == []
     assert {r.x for r in joins.not_in(probe, build.where("false"), "x", "x").collect()} == {1, 2, None}
+
+
+def test_approximate_count_of_many_keys_is_near(spark, tmp_path):
+    from quernstone.plans import registry
+
+    spark.range(1200000).select(F.col("id").alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.near for r in registry.QUERIES["a20_approximate_distinct"](spark, str(tmp_path)).collect()] == [True]
