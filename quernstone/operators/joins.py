@@ -44,7 +44,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str | Sequence[str], time: str
     """For each row of left the values of right's latest row with equal keys and no later time; null if there is none. One sort of both sides together: no
     pair of rows is formed. Of right's rows with equal keys and time the largest values count. A null key or time matches nothing.
 
-    hot: keys of very many rows are spread: rows are dealt out by ranges of key and time, and each range is handed its keys' last values before it, a row
+    hot: keys of very many rows are spread: rows are dealt out by key and ranges of time, and each range is handed its keys' last values before it, a row
     a range and key. Else all rows of a key are one task's."""
     keys = [key] if isinstance(key, str) else list(key)
     kind = ",".join(f"`{v}`:{right.schema[v].dataType.simpleString()}" for v in values)
@@ -60,18 +60,30 @@ def as_of(left: DataFrame, right: DataFrame, key: str | Sequence[str], time: str
         over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         seen = both.withColumn("__v", F.last("__v", ignorenulls=True).over(over))
     else:
-        parted = both.repartitionByRange(*keys, time, "__side").withColumn("__p", F.spark_partition_id())
+        ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = F.when(known, F.col("__p")).otherwise(-1 - F.pmod(F.xxhash64(*keys, time), F.lit(ranges)).cast("int"))
+        parted = _ranged(both, both.where(known), keys, time, ranges).withColumn("__p", dealt)
         over = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = parted.withColumn("__v", F.last("__v", ignorenulls=True).over(over))
-        ends = parted.where("__side = 0").groupBy("__p", *keys).agg(F.max_by("__v", F.struct(time, "__v")).alias("__last"))
-        places = parted.groupBy("__p", *keys).agg(F.lit(1).alias("__one")).join(ends, ["__p", *keys], "left")
+        last = F.max(F.when(F.col("__side") == 0, F.struct(F.col(time).alias("t"), F.col("__v").alias("v"))))["v"]
+        ends = parted.where(known).groupBy("__p", *keys).agg(last.alias("__last"))
         before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        carried = places.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).select("__p", *keys, "__before")
+        carried = ends.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).select("__p", *keys, "__before")
         seen = local.join(carried, ["__p", *keys], "left").withColumn("__v", F.coalesce("__v", "__before"))
     seen = seen.where("__side = 1").withColumn("__v", F.when(known, F.col("__v")))
     return seen.select(*[F.col(f"`{c}`") for c in left.columns], *(F.col("__v")[v].alias(f"asof_{v}" if v in left.columns else v) for v in values))
 
 
+def _ranged(rows: DataFrame, known: DataFrame, keys: Sequence[str], time: str, ranges: int) -> DataFrame:
+    """rows of as_of() and __p, the number of the range of times in which a row lies, of about so many of equal size. The ends of ranges are those of the known rows of least
+    hash: each branch of a plan that works them out finds the same ones, while partition ids, and bounds sampled by a shuffle, differ from branch to branch."""
+    sample = known.orderBy(F.xxhash64(*keys, time, "__side", "__v"), time).limit(8 * ranges).agg(F.sort_array(F.collect_list(time)).alias("x"))
+    ends = sample.select(F.filter("x", lambda _, i: i % 8 == 7).alias("x"))
+    spans = ends.select(F.inline(F.transform(F.sequence(F.lit(0), F.size("x")), lambda i: F.struct(i.alias("__p"), F.get("x", i - 1).alias("__from"), F.get("x", i).alias("__to")))))
+    inside = (F.col("__from").isNull() | (F.col("__from") <= F.col(time))) & (F.col("__to").isNull() | (F.col(time) < F.col("__to")))
+    return rows.join(F.broadcast(spans), inside, "left").drop("__from", "__to")  # a row for each range
+
+
 def in_range(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points within [start, end) of numeric ranges: both sides are cut into bins of width and joined on the bin, so that it is an equi-join. A
     range is repeated once for each bin that it touches."""

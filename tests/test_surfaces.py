@@ -365,3 +365,13 @@ def test_approximate_count_of_many_keys_is_near(spark, tmp_path):
 
     spark.range(1200000).select(F.col("id").alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [r.near for r in registry.QUERIES["a20_approximate_distinct"](spark, str(tmp_path)).collect()] == [True]
+
+
+def test_hot_as_of_over_many_ranges(spark, laid_out):
+    laid_out(shuffle_partitions="13", adaptive_coalescePartitions_enabled="false")
+    left = spark.range(20000).select(F.when(F.col("id") % 97 > 0, F.col("id") % 3).alias("k"), "id", F.when(F.col("id") % 89 > 0, (F.col("id") * 7919) % 5000).alias("t"))
+    right = spark.range(3000).select((F.col("id") % 4).alias("k"), ((F.col("id") * 104729) % 5000).alias("t"), F.col("id").alias("v"))
+    plain, spread = (sorted(map(tuple, joins.as_of(left, right, "k", "t", ["v"], hot).select("id", "v").collect()), key=repr) for hot in (False, True))
+    assert plain == spread
+    assert [r.v for r in joins.as_of(left.where("false"), right, "k", "t", ["v"], hot=True).collect()] == []
+    assert {r.v for r in joins.as_of(left, right.where("false"), "k", "t", ["v"], hot=True).collect()} == {None}
