@@ -17,6 +17,8 @@ from .components import components
 #: Seed of the shingles' XXH64.
 SEED = 42
 _CHUNK = 1 << 19
+#: Bytes of texts that are fingerprinted at once.
+_SLICE = 2 << 20
 #: Links of a fingerprint in a run that are looked at once the first ones have failed; each further round takes so many times as many.
 FIRST = 8
 
@@ -70,17 +72,22 @@ def fingerprints(docs: DataFrame, width: int = 3, repeats: bool = True, sketched
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
-                hashes = shingle_hashes(part.column("text"), width)
-                fp = fingerprint(*(hashes if repeats else _once(*hashes)))
-                more = dict(zip(("n", "low", "high"), (pa.array(x.astype(np.int64) if x.dtype != np.uint64 else np.ascontiguousarray(x).view(np.int64)) for x in sketches(part.column("text"))))) if sketched else {}
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64)), **more})
+            yield from _printed(batch, width, repeats, sketched)
 
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common.ship(docs.sparkSession)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{', n long, low long, high long' if sketched else ''}")
 
 
+def _printed(batch: pa.RecordBatch, width: int, repeats: bool, sketched: bool) -> Iterator[pa.RecordBatch]:
+    """fingerprints() of a batch. A slice's words and hashes take many times its bytes, and each worker needs that much."""
+    for part in common.slices(batch, _SLICE):
+        hashes = shingle_hashes(part.column("text"), width)
+        fp = fingerprint(*(hashes if repeats else _once(*hashes)))
+        more = dict(zip(("n", "low", "high"), (pa.array(x.astype(np.int64) if x.dtype != np.uint64 else np.ascontiguousarray(x).view(np.int64)) for x in sketches(part.column("text"))))) if sketched else {}
+        yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64)), **more})
+
+
 def variants(fp: Column, radius: int) -> tuple[Column, int]:
     """Signatures of a fingerprint. It is cut into radius // 2 + 1 segments, so that of radius differing bits some segment has one at
     most; each segment gives one signature for each of its bits, that bit masked. A signature holds its segment and bit in its top byte, or is a hash of

@@ -287,3 +287,13 @@ def test_similar_links_of_a_group_of_near_copies_are_those_of_brute_force(spark,
     assert len(groups) > 3 and max(map(len, groups.values())) > 8
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, 2, 7, False, 0.8).collect()}
     assert got == want
+
+
+def test_fingerprints_take_few_texts_at_once(monkeypatch):
+    sizes, one = [], simhash_dedup.shingle_hashes
+    monkeypatch.setattr(simhash_dedup, "shingle_hashes", lambda x, width: sizes.append(x.nbytes) or one(x, width))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(300)), "text": pa.array([f"{k} word " * 1500 for k in range(300)])})
+    out = pa.Table.from_batches(simhash_dedup._printed(batch, 2, False, True))
+    assert out["doc_id"].to_pylist() == list(range(300)) and len(sizes) > 1 and max(sizes) <= 2 << 20
+    whole = simhash_dedup.fingerprint(*simhash_dedup._once(*one(batch.column("text"), 2)))
+    assert (out["fp"].to_numpy().view(np.uint64) == whole).all()
