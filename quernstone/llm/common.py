@@ -74,6 +74,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees what finished steps broadcast and shuffled: Spark keeps it until the driver's JVM collects all its garbage, and that waits until the heap has grown to
+    its bound. For loops of many steps."""
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes all that materialise() has written for this application. Results that read it must have been written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from . import common
-from .components import components
+from .components import AT_ONCE, components
 
 #: Seed of the shingles' XXH64.
 SEED = 42
@@ -339,12 +339,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: fl
     while True:
         fresh = found.where(~F.col("more")).select("a", "b").distinct()
         fresh = common.materialise(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh-links")
+        common.let_go(docs.sparkSession)
         held = common.materialise(verified(fresh, docs, nodes, similarity), "similar-links")
         good, tried = (held, fresh) if good is None else (good.union(held), tried.union(fresh))
         rest = common.materialise(found.where("more").select(F.col("a").alias("key")).distinct(), "long-runs")  # of known size, as in verified()
         if rest.isEmpty():
             return good
-        roots = components(good).select(F.col("node").alias("fp"), "root")
+        roots = components(good, AT_ONCE).select(F.col("node").alias("fp"), "root")
+        common.let_go(docs.sparkSession)
         rooted = kept.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", "low", "high")
         rooted = _signed_rows(rooted, radius).join(rest, "key", "left_semi")
         found = common.materialise(_compared(rooted, radius, most, similarity=similarity), "candidate-links")
@@ -393,7 +395,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, repeats: b
     nodes = prints.groupBy("fp").agg(least, *own)
     nodes = common.materialise(nodes.select("fp", "least", "__s.*") if sketched else nodes, "nodes")
     edges = links(nodes.select("fp"), radius) if similarity is None else similar_links(docs, nodes, radius, similarity)
-    found = components(edges).select(F.col("node").alias("fp"), "root")
+    found = components(edges, AT_ONCE if sketched else 0).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -187,6 +187,29 @@ def test_components_of_a_path_a_star_and_odd_edges(spark):
     assert components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [100_000, 300])
+def test_components_in_one_task_are_those_of_rounds(spark, at_once):
+    """A path in mixed order, a star, and random edges; of graphs beyond at_once the rounds are used."""
+    rng = np.random.default_rng(8)
+    path = rng.permutation(np.arange(10_000, 10_400)).tolist()
+    edges = [*zip(path, path[1:]), *((k, -7) for k in range(30)), *rng.integers(20_000, 20_300, (200, 2)).tolist(), (5, 5), (9000, 9000), (None, 3), (4, None)]
+    df = spark.createDataFrame([tuple(e) for e in edges], "a long, b long")
+    rows = lambda x: sorted((r.node, r.root) for r in x.collect())
+    assert rows(components(df, at_once)) == rows(components(df))
+    assert components(df.limit(0), at_once).count() == 0
+
+
+def test_few_links_of_near_copies_take_few_jobs(spark):
+    """The driver holds an account of every job and stage: rounds over a small graph filled it on tables of many partitions."""
+    texts = documents(spark, [(k, " ".join(f"w{j}" for j in range(200) if j != k)) for k in range(40)])
+    spark.sparkContext.setJobGroup("near-copies", "near copies")
+    try:
+        assert [r.doc_id for r in simhash_dedup.one_of_each(texts).collect()] == [0]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-copies")) <= 65
+
+
 def test_one_of_each_keeps_one_near_copy(spark):
     kept = simhash_dedup.one_of_each(documents(spark))
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
